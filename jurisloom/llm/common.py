@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 _LOCAL: list[str] = []
 
@@ -100,3 +101,9 @@ def id_crc(col: str | Column) -> Column:
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
+
+
+def extended(df: DataFrame, **columns: str) -> StructType:
+    """The schema of ``df`` with further columns; ``df`` itself stays as it is."""
+
+    return StructType([*df.schema.fields, *(StructField(k, _parse_datatype_string(v)) for k, v in columns.items())])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, text_or_empty
+from .common import documents, extended, slices, text_or_empty
 
 #: Characters of a chunk, of the first overlap, and of a chunk's untrusted end
 #: (longer than any added token by far).
@@ -157,7 +157,7 @@ def count_tokens(
     table gives an empty table, repeated rows are counted one by one.
     """
     keep = df.drop(out_col)
-    schema = keep.schema.add(out_col, "long")
+    schema = extended(keep, **{out_col: "long"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)

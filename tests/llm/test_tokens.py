@@ -1,0 +1,78 @@
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from jurisloom.llm import token_counts as tc
+from jurisloom.llm import token_output as to
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+ODD = ["", "a", "a" * 900, " " * 500 + "x", "<|endoftext|>" * 60, "ab <|endoftext|>cd  \n" * 50, "é" * 700, "don't we'll " * 90, "\n \n" * 200, "日本語 " * 200, " lead", "trail ", "a\t b  c \n d", "<|endo" * 50]
+
+
+def whole(text):
+    return tc.coder(PATH).encode_many([text])[0]
+
+
+@pytest.mark.parametrize("text", ODD)
+@pytest.mark.parametrize("sizes", [(60, 20, 15), (200, 40, 20)])
+def test_chunks_join_to_the_whole_encoding(text, sizes):
+    assert [i for run in tc.encode_long(text, tc.coder(PATH), *sizes) for i in run] == whole(text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab '\n\té1!<|>endoftx  ", max_size=400))
+def test_chunks_and_pieces_of_any_text(text):
+    assert [i for run in tc.encode_long(text, tc.coder(PATH), 50, 10, 15) for i in run] == whole(text)
+    assert to.piece_encoder(PATH).encode(text).tolist() == whole(text)
+
+
+@pytest.mark.parametrize("bits", [1, 7, 8, 15, 16, 17, 31, 32])
+def test_pack_round_trip(bits):
+    ids = np.random.default_rng(bits).integers(0, 2**bits, 1001).astype(np.uint32)
+    assert (to.unpack(to.pack(ids, bits), 1001, bits) == ids).all()
+    assert len(to.pack(ids, bits)) == -(-1001 * bits // 8)
+
+
+def test_queries_match_the_library(spark, tmp_path):
+    rows = [(i * 3, t) for i, t in enumerate(ODD)] + [(3, None), (None, "no id"), (6, "tie"), (6, "tie")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", df_lit("clash"))
+    got = tc.count_tokens(df, PATH).select("doc_id", "text", "n_tokens").collect()
+    assert sorted((r[0] or -1, r[1] or "", r[2]) for r in got) == sorted((i or -1, t or "", len(whole(t or ""))) for i, t in rows)
+    got = to.token_output(df, PATH).collect()
+    want, start = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = np.array([*whole(t or ""), 0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+
+
+def df_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
+
+
+def test_small_blocks_and_random_access(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(to, "BLOCK_IDS", 8)
+    with to.whole_file(f"file://{tmp_path}", "x.tok") as out:
+        w = to.ShardWriter(out, 13)
+        docs = [np.arange(n, dtype=np.uint32) * 7 % 8000 for n in (0, 3, 50, 1, 8, 8)]
+        for k, d in enumerate(docs):
+            w.add(k, d)
+        w.close()
+    r = to.ShardReader(f"file://{tmp_path}/x.tok")
+    flat = np.concatenate(docs)
+    for a in range(0, 70, 7):
+        assert (r.ids(a, min(70, a + 13)) == flat[a : a + 13]).all()
+    assert r.starts.tolist() == [0, 0, 3, 53, 54, 62, 70]
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert tc.count_tokens(df, PATH).count() == 0
+    assert to.token_output(df, PATH).count() == 0
