@@ -229,7 +229,7 @@ def write_shards(
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    shards = materialise(rows.mapInArrow(run, "shard int, file string, n_docs long, n_ids long"), "shards")
+    shards = materialise(rows.mapInArrow(run, "shard long, file string, n_docs long, n_ids long"), "shards")
     # A row per shard: few, whatever the size of the corpus.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
