@@ -49,6 +49,7 @@ class Coder:
 
             self._sp = sentencepiece.SentencePieceProcessor(model_file=path)
             self.resynchronises = False
+            self.added: list[str] = []
             self.vocab_size = self._sp.get_piece_size()
             return
         from tokenizers import Tokenizer
@@ -62,6 +63,8 @@ class Coder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         added = spec.get("added_tokens") or []
+        self.added = [t["content"] for t in added]
+        self.model = self._tok.model
         self.resynchronises = (
             spec.get("normalizer") is None
             and pre.get("type") == "ByteLevel"

@@ -24,10 +24,10 @@ def test_chunks_join_to_the_whole_encoding(text, sizes):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab '\n\té1!<|>endoftx  ", max_size=400))
+@given(st.text(alphabet="ab '\n\té1!<|>endoftx  \x85\xa0\x1c\u2028²½ªß日🙂\u0301", max_size=400) | st.text(max_size=200))
 def test_chunks_and_pieces_of_any_text(text):
     assert [i for run in tc.encode_long(text, tc.coder(PATH), 50, 10, 15) for i in run] == whole(text)
-    assert to.piece_encoder(PATH).encode(text).tolist() == whole(text)
+    assert to.text_encoder(PATH).encode(text).tolist() == whole(text)
 
 
 @pytest.mark.parametrize("bits", [1, 7, 8, 15, 16, 17, 31, 32])
