@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_counts, token_output
+from . import fingerprints, mixing, token_counts, token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_token_output": token_output.op3_token_output,
+        "op8_mixing": mixing.op8_mixing,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": mixing.OP8_SQL}
