@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, token_counts, token_output
+from . import fingerprints, language_id, licenses, mixing, token_counts, token_output, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": licenses.op1_license_scan,
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_token_output": token_output.op3_token_output,
+        "op7_language_id": language_id.op7_language_id,
         "op8_mixing": mixing.op8_mixing,
+        "op9_warc": warc.op9_warc,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.OP8_SQL}
+    return {"op8_mixing": mixing.OP8_SQL, "op9_warc": warc.OP9_SQL}
