@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, licenses, mixing, token_counts, token_output, warc
+from . import decontamination, fingerprints, language_id, licenses, mixing, near_duplicates, token_counts, token_output, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": licenses.op1_license_scan,
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_token_output": token_output.op3_token_output,
+        "op4_decontamination": decontamination.op4_decontamination,
+        "op5_jaccard_join": near_duplicates.op5_jaccard_join,
         "op7_language_id": language_id.op7_language_id,
         "op8_mixing": mixing.op8_mixing,
         "op9_warc": warc.op9_warc,
