@@ -2,20 +2,24 @@
 
 Terms are runs of five words (fewer words: all of them; no word: the text
 itself), weighted by how often they occur.  For a term ``t`` of weight ``w``,
-hashes of ``t`` give ``r, c ~ Gamma(2, 1)`` and ``b ~ U(0, 1)``, and
+bits of hashes of ``t`` give ``r, c ~ Gamma(2, 1)`` and ``b ~ U(0, 1)``, and
 
-    z = floor(ln w / r + b),   ln a = ln c - r (z - b) - r.
+    z = floor(ln w / r + b),   ln a = ln c - r (z - b + 1).
 
 The sample of a set of terms is the ``(t, z)`` of the smallest ``a``; two sets
 have the same sample with a probability equal to their generalised Jaccard
-similarity (sum of minima over sum of maxima).  A weight over 1 is first cut
-into pieces ``(t, 1), (t, 2), ...`` of weight 1 and a rest, which leaves both
-sums as they are.  Each piece goes to one of ``SAMPLES`` bins by a further hash
-and each bin draws one sample, so a text costs one draw per piece instead of
-one per term and sample, and a heavy term counts in as many bins as it weighs.
-A bin without a piece takes the sample of the bin that a hash of both bin numbers ranks first
-among those filled, so that equal fillings copy equal bins.  A signature keeps 32 bits of
-each sample: unrelated samples agree once in four thousand million.
+similarity (sum of minima over sum of maxima).  A weight over ``PIECE`` is first
+cut into pieces ``(t, 0), (t, 1), ...`` of weight ``PIECE`` and a rest, which
+leaves both sums as they are.  Each piece goes to one of ``SAMPLES`` bins by a
+further hash and each bin draws one sample, so a text costs one draw per piece
+instead of one per term and sample, and a heavy term counts in about as many
+bins as it weighs.  A bin without a piece takes the sample of the bin that a
+hash of both bin numbers ranks first among those filled, so that equal fillings
+copy equal bins.  ``a`` is a function of ``(t, z)`` alone, so the low 32 bits of
+its logarithm stand for the sample: unrelated ones agree once in four thousand
+million.
+
+All of it happens within the row: a fingerprint needs no shuffle.
 """
 
 from __future__ import annotations
@@ -29,8 +33,12 @@ from .common import documents, text_or_empty
 
 SAMPLES = 128
 SHINGLE = 5
+#: Most weight of a piece; a piece's lowest bit says how much it has, 1 or 2.
+PIECE = 2
 #: Text of a bucket of neighbouring documents, about, and the most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 3 << 20, 65_536
+#: A rank has 56 bits, of which 49 are fractions of ln a; bins stand above them.
+RANK_BITS, FRACTION = 56, float(1 << 49)
 
 
 def terms(text: Column) -> Column:
@@ -40,58 +48,65 @@ def terms(text: Column) -> Column:
 
 
 def shingle_hashes(words: Column) -> Column:
-    """Sorted hashes of the runs of ``SHINGLE`` words, repeats kept."""
+    """Sorted even hashes of the runs of ``SHINGLE`` words, repeats kept."""
     n = F.size(words)
     runs = F.arrays_zip(*(F.slice(words, k + 1, F.greatest(n - SHINGLE + 1, F.lit(1))).alias(f"w{k}") for k in range(SHINGLE)))
-    return F.sort_array(F.transform(runs, lambda s: F.xxhash64(*(s[f"w{k}"] for k in range(SHINGLE)))))
+    return F.sort_array(F.transform(runs, lambda s: F.shiftleft(F.xxhash64(*(s[f"w{k}"] for k in range(SHINGLE))), 1)))
 
 
-def weighted(hashes: Column, side: int) -> Column:
-    """Runs of equal values in a sorted array as structs ``side, t, w``."""
+def pieces(hashes: Column, n_distinct: Column) -> Column:
+    """Pieces of the terms counted in a sorted array: even hashes, plus one where the weight is 2."""
     n = F.size(hashes)
-    firsts = F.filter(
+    firsts = F.filter(hashes, lambda h, i: (i == 0) | (h != F.element_at(hashes, F.greatest(i, F.lit(1)))))
+    at = F.filter(
         F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(hashes, i) != F.element_at(hashes, F.greatest(i - 1, F.lit(1))))
     )
-    nexts = F.concat(F.slice(firsts, 2, F.size(firsts)), F.array(n + 1))
-    return F.zip_with(
-        firsts, nexts,
-        lambda a, b: F.struct(F.lit(side).alias("side"), F.element_at(hashes, a).alias("t"), (b - a).cast("long").alias("w")),
-    )
+    after = F.concat(F.slice(at, 2, F.size(at)), F.array(n + 1))
+    runs = F.arrays_zip(firsts.alias("t"), at.alias("a"), after.alias("b"))
+
+    def cut(run: Column) -> Column:
+        w = run["b"] - run["a"]
+        return F.transform(
+            F.sequence(F.lit(0), F.floor((w - 1) / PIECE).cast("int")),
+            lambda j: F.when(j == 0, run["t"]).otherwise(F.shiftleft(F.xxhash64(run["t"], j), 1)) + F.when(w - PIECE * j >= PIECE, F.lit(1)).otherwise(F.lit(0)),
+        )
+
+    return F.when(n_distinct == n, hashes).otherwise(F.flatten(F.transform(runs, cut)))
 
 
 def _uniform(h: Column, shift: int) -> Column:
     """21 bits of a hash as a number in (0, 1)."""
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(0x1FFFFF).cast("double") + 0.5) / float(1 << 21)
+    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(0x1FFFFF)) + F.lit(0.5)) * F.lit(1.0 / (1 << 21))
 
 
-def pieces(w: Column) -> Column:
-    """Numbers of the pieces of weight 1, and of the rest below 1, of a weight."""
-    return F.sequence(F.lit(1).cast("long"), F.ceil(w).cast("long"))
+def draw(piece: Column) -> Column:
+    """A piece's bin above its rank: ``bin * 2**RANK_BITS + (64 + ln a) * 2**49``."""
+    more = F.xxhash64(F.shiftrightunsigned(piece, 1))
+    r = -F.log(_uniform(piece, 1) * _uniform(piece, 22))
+    c = -F.log(_uniform(piece, 43) * _uniform(more, 0))
+    b = _uniform(more, 21)
+    z = F.when(piece.bitwiseAND(F.lit(1)) == 0, F.lit(0.0)).otherwise(F.floor(F.lit(math.log(PIECE)) / r + b).cast("double"))
+    rank = ((F.log(c) - r * (z - b + 1) + F.lit(64.0)) * F.lit(FRACTION)).cast("long")
+    bin_ = F.shiftrightunsigned(more, 42).bitwiseAND(F.lit(SAMPLES - 1))
+    return F.shiftleft(bin_, RANK_BITS) + rank
 
 
-def draw(term: Column, weight: Column, piece: Column) -> tuple[Column, Column, Column]:
-    """``bin, ln a, sample`` of a piece of a term."""
-    t, w = F.xxhash64(term, piece), F.least(F.lit(1.0), weight - piece + 1)
-    h1, h2 = F.xxhash64(t, F.lit(1)), F.xxhash64(t, F.lit(2))
-    r = -F.log(_uniform(h1, 0) * _uniform(h1, 21))
-    c = -F.log(_uniform(h1, 42) * _uniform(h2, 0))
-    b = _uniform(h2, 21)
-    z = F.floor(F.log(w.cast("double")) / r + b)
-    ln_a = F.log(c) - r * (z - b) - r
-    bin_ = F.shiftrightunsigned(h2, 42).bitwiseAND(0x1FFFFF).cast("int") % SAMPLES
-    return bin_, ln_a, F.xxhash64(t, z).bitwiseAND(0xFFFFFFFF)
+def best(draws: Column) -> Column:
+    """The smallest draw of every bin, from sorted draws (bins go up to 127, so none is negative)."""
+    bin_ = lambda x: F.shiftrightunsigned(x, RANK_BITS)
+    return F.filter(draws, lambda x, i: (i == 0) | (bin_(x) != bin_(F.element_at(draws, F.greatest(i, F.lit(1))))))
 
 
-def signature(entries: Column) -> Column:
-    """``SAMPLES`` values from structs ``bin, v`` of the filled bins, empty ones filled in."""
+def signature(drawn: Column) -> Column:
+    """``SAMPLES`` values from the best draws of the filled bins, empty ones filled in."""
 
     def value(b: Column) -> Column:
-        own = F.filter(entries, lambda e: e["bin"] == b)
-        near = F.array_min(F.transform(entries, lambda e: F.struct(F.xxhash64(b, e["bin"]).alias("h"), e["v"].alias("v"))))
-        return F.when(F.size(own) > 0, F.element_at(own, 1)["v"]).otherwise(near["v"])
+        own = F.filter(drawn, lambda e: F.shiftrightunsigned(e, RANK_BITS) == b)
+        near = F.array_min(F.transform(drawn, lambda e: F.struct(F.xxhash64(b, F.shiftrightunsigned(e, RANK_BITS)).alias("h"), e.alias("v"))))
+        return F.when(F.size(own) > 0, F.element_at(own, 1)).otherwise(near["v"])
 
-    filled = F.transform(entries, lambda e: e["v"])
-    return F.when(F.size(entries) == SAMPLES, filled).otherwise(F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), value))
+    full = F.when(F.size(drawn) == SAMPLES, drawn).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SAMPLES - 1).cast("long")), value))
+    return F.transform(full, lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def written(sig: Column) -> Column:
@@ -100,24 +115,33 @@ def written(sig: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal samples of two signatures."""
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return same / float(SAMPLES)
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / float(SAMPLES)
 
 
-def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, fingerprint`` (8 hex digits a sample) of every row.
+def with_signature(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
+    """``df`` with the signature of ``text_col`` (not null).  Narrow.
 
-    Row by row, then a shuffle of at most ``SAMPLES`` numbers a row.  Null texts
-    are empty ones; empty texts have a fingerprint of their own kind.  Rows are
-    told apart by id and text: repeated rows give one result.
+    Each step is a column of its own, so no step is computed twice.
     """
-    rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    rows = rows.select("id", F.xxhash64("text").alias("x"), F.explode(weighted(shingle_hashes(terms(F.col("text"))), 0)).alias("e"))
-    rows = rows.select("id", "x", "e", F.explode(pieces(F.col("e.w"))).alias("piece"))
-    bin_, ln_a, v = draw(F.col("e.t"), F.col("e.w"), F.col("piece"))
-    best = rows.select("id", "x", bin_.alias("bin"), ln_a.alias("a"), v.alias("v")).groupBy("id", "x", "bin").agg(F.min_by("v", "a").alias("v"))
-    sig = best.groupBy("id", "x").agg(F.sort_array(F.collect_list(F.struct("bin", "v"))).alias("entries"))
-    return sig.select(F.col("id").alias(id_col), written(signature(F.col("entries"))).alias("fingerprint"))
+    x = f"__{out_col}"
+    df = df.withColumn(x, terms(F.col(text_col)))
+    df = df.withColumn(x, shingle_hashes(F.col(x)))
+    df = df.withColumn(f"{x}n", F.size(F.array_distinct(x)))
+    df = df.withColumn(x, pieces(F.col(x), F.col(f"{x}n")))
+    df = df.withColumn(x, F.sort_array(F.transform(x, draw)))
+    df = df.withColumn(x, best(F.col(x)))
+    return df.withColumn(out_col, signature(F.col(x))).drop(x, f"{x}n")
+
+
+def fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
+    """``df`` with the fingerprint of ``text_col``: 8 hex digits a sample.  Narrow.
+
+    Null texts are empty ones; empty texts have a fingerprint of their own
+    kind.  A column called ``out_col`` is replaced, repeated rows stay, an
+    empty table stays empty.
+    """
+    df = with_signature(df.withColumn("__text", text_or_empty(text_col)), "__text", "__signature")
+    return df.withColumn(out_col, written(F.col("__signature"))).drop("__text", "__signature")
 
 
 def bounds_of(df: DataFrame, id_col: str, bucket_bytes: int = BUCKET_BYTES) -> tuple[list[int], int | None]:
@@ -175,39 +199,16 @@ def with_edits(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
 def fingerprint_with_neighbours(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Fingerprints of ``id, text`` rows, of their edited texts, and likenesses.
 
-    Everything after the shuffle into buckets stays in it: bucket is part of
-    every grouping, so no aggregation or window moves a row again.
+    One shuffle, into buckets; the second window finds its rows where they are.
     """
     rows = with_edits(df.select("id", text_or_empty("text").alias("text")), bucket_bytes)
-    sha = F.sha2(F.col("edited").cast("binary"), 256)
-    facts = [F.coalesce("id", F.lit(0)), F.length("text"), F.col("guest").cast("int") + 2 * F.col("id").isNull().cast("int")]
-    facts += [F.conv(F.substring(sha, 1 + 8 * k, 8), 16, 10) for k in range(8)]
-    # Facts of the row travel as entries of a third side, w being their number.
-    facts = F.array(*(F.struct(F.lit(2).alias("side"), x.cast("long").alias("t"), F.lit(k).cast("long").alias("w")) for k, x in enumerate(facts)))
-    sides = [shingle_hashes(terms(F.col(c))) for c in ("text", "edited")]
-    flat = rows.select("bucket", "n", *(s.alias(f"h{k}") for k, s in enumerate(sides)), facts.alias("facts"))
-    flat = flat.select("bucket", "n", F.explode(F.concat(*(weighted(F.col(f"h{k}"), k) for k in (0, 1)), F.col("facts"))).alias("e"))
-    fact = F.col("e.side") == 2
-    flat = flat.select("bucket", "n", "e", F.explode(pieces(F.when(fact, F.lit(1)).otherwise(F.col("e.w")))).alias("piece"))
-    bin_, ln_a, v = draw(F.col("e.t"), F.col("e.w"), F.col("piece"))
-    best = flat.select(
-        "bucket", "n", F.col("e.side").alias("side"),
-        F.when(fact, F.col("e.w").cast("int")).otherwise(bin_).alias("bin"),
-        F.when(fact, F.lit(0.0)).otherwise(ln_a).alias("a"),
-        F.when(fact, F.col("e.t")).otherwise(v).alias("v"),
-    ).groupBy("bucket", "n", "side", "bin").agg(F.min_by("v", "a").alias("v"))
-    whole = best.groupBy("bucket", "n").agg(F.sort_array(F.collect_list(F.struct("side", "bin", "v"))).alias("entries"))
-    side = lambda k: F.filter("entries", lambda e: e["side"] == k)
-    sigs = whole.select("bucket", "n", signature(side(0)).alias("sig"), signature(side(1)).alias("edited_sig"), F.transform(side(2), lambda e: e["v"]).alias("f"))
-    order = Window.partitionBy("bucket").orderBy("n")
-    follow = F.lead("sig").over(order)
-    sigs = sigs.withColumn("next_sig", F.coalesce(follow, F.col("sig")))
-    flags = F.element_at("f", 3)
-    sha = F.concat(*(F.lower(F.lpad(F.hex(F.element_at("f", 4 + k)), 8, "0")) for k in range(8)))
-    return sigs.filter(flags.bitwiseAND(1) == 0).select(
-        F.when(flags.bitwiseAND(2) == 0, F.element_at("f", 1)).alias("id"),
-        F.element_at("f", 2).alias("n_chars"),
-        sha.alias("edited_sha256"),
+    rows = with_signature(with_signature(rows, "text", "sig"), "edited", "edited_sig")
+    rows = rows.select(
+        "bucket", "guest", "n", "id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sig", "edited_sig"
+    )
+    follow = F.lead("sig").over(Window.partitionBy("bucket").orderBy("n"))
+    return rows.withColumn("next_sig", F.coalesce(follow, F.col("sig"))).filter("not guest").select(
+        "id", "n_chars", "edited_sha256",
         written(F.col("sig")).alias("fingerprint"),
         written(F.col("edited_sig")).alias("edited_fingerprint"),
         likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
