@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, language_id, licenses, mixing, near_duplicates, token_counts, token_output, warc
+from . import decontamination, fingerprints, language_id, licenses, lm_scoring, mixing, near_duplicates, token_counts, token_output, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_output": token_output.op3_token_output,
         "op4_decontamination": decontamination.op4_decontamination,
         "op5_jaccard_join": near_duplicates.op5_jaccard_join,
+        "op6_lm_scoring": lm_scoring.op6_lm_scoring,
         "op7_language_id": language_id.op7_language_id,
         "op8_mixing": mixing.op8_mixing,
         "op9_warc": warc.op9_warc,
