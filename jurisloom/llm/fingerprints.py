@@ -93,17 +93,19 @@ def draw(piece: Column) -> Column:
 
 def best(draws: Column) -> Column:
     """The smallest draw of every bin, from sorted draws (bins go up to 127, so none is negative)."""
-    bin_ = lambda x: F.shiftrightunsigned(x, RANK_BITS)
-    return F.filter(draws, lambda x, i: (i == 0) | (bin_(x) != bin_(F.element_at(draws, F.greatest(i, F.lit(1))))))
+    new = lambda x, i: x.bitwiseXOR(F.element_at(draws, i)) >= F.lit(1 << RANK_BITS)
+    return F.filter(draws, lambda x, i: (i == 0) | new(x, F.greatest(i, F.lit(1))))
 
 
-def signature(drawn: Column) -> Column:
-    """``SAMPLES`` values from the best draws of the filled bins, empty ones filled in."""
+def signature(drawn: Column, bins: Column) -> Column:
+    """``SAMPLES`` values from the best draws of the filled ``bins``, empty ones filled in."""
 
     def value(b: Column) -> Column:
-        own = F.filter(drawn, lambda e: F.shiftrightunsigned(e, RANK_BITS) == b)
-        near = F.array_min(F.transform(drawn, lambda e: F.struct(F.xxhash64(b, F.shiftrightunsigned(e, RANK_BITS)).alias("h"), e.alias("v"))))
-        return F.when(F.size(own) > 0, F.element_at(own, 1)).otherwise(near["v"])
+        own = F.array_position(bins, b)
+        # Hash above the place in the list: the smallest names the bin to copy.
+        ranked = F.transform(bins, lambda x, i: F.shiftleft(F.xxhash64(b, x).bitwiseAND(F.lit((1 << 48) - 1)), 8) + i)
+        near = F.array_min(ranked).bitwiseAND(F.lit(255)).cast("int") + 1
+        return F.element_at(drawn, F.when(own > 0, own.cast("int")).otherwise(near))
 
     full = F.when(F.size(drawn) == SAMPLES, drawn).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SAMPLES - 1).cast("long")), value))
     return F.transform(full, lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -130,7 +132,8 @@ def with_signature(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
     df = df.withColumn(x, pieces(F.col(x), F.col(f"{x}n")))
     df = df.withColumn(x, F.sort_array(F.transform(x, draw)))
     df = df.withColumn(x, best(F.col(x)))
-    return df.withColumn(out_col, signature(F.col(x))).drop(x, f"{x}n")
+    df = df.withColumn(f"{x}n", F.transform(x, lambda d: F.shiftrightunsigned(d, RANK_BITS)))
+    return df.withColumn(out_col, signature(F.col(x), F.col(f"{x}n"))).drop(x, f"{x}n")
 
 
 def fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
