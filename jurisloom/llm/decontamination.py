@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import documents, map_arrow, slices
 from .shingles import SHINGLE, U, shingles_of, words, written_shingles
 
 THRESHOLD = 0.8
@@ -176,7 +176,7 @@ def containment_hits(
                         }
                     )
 
-        found = docs.mapInArrow(run, HITS)
+        found = map_arrow(docs, run, HITS)
         out = found if out is None else out.union(found)
     if out is None:
         out = spark.createDataFrame([], HITS)
@@ -196,7 +196,7 @@ def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_
                     stays[[d for d, *_ in shared.value.search(batch.column(text_col))]] = False
                     yield batch.filter(pa.array(stays))
 
-        df = df.mapInArrow(run, df.schema)
+        df = map_arrow(df, run, df.schema)
     return df
 
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, extended, id_crc, slices
+from .common import documents, extended, id_crc, map_arrow, slices
 
 #: Cells of the whole model: languages times cells of a language never exceed it (64 MB).
 MODEL_CELLS = 1 << 24
@@ -92,7 +92,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
             cell = np.flatnonzero(v)
             yield pa.RecordBatch.from_pydict({"key": (int(k) << bits) | cell, "n": v[cell].astype(np.int64)})
 
-    table = labelled.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    table = map_arrow(labelled, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     model = np.zeros((len(langs), 1 << bits), np.float64)
     key = table["key"].to_numpy()
     model[key >> bits, key & ((1 << bits) - 1)] = table["n"].to_numpy()
@@ -185,7 +185,7 @@ def predict(df: DataFrame, langs: list[str], model: np.ndarray, bits: int, text_
                 )
 
     schema = extended(keep, lang_pred="string", score="double", lang_noise="double", lang_mix="array<struct<lang:string,share:double>>")
-    return keep.mapInArrow(run, schema)
+    return map_arrow(keep, run, schema)
 
 
 def learned_part(df: DataFrame, id_col: str = "doc_id") -> DataFrame:

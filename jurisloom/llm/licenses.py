@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, extended, slices
+from .common import documents, extended, map_arrow, slices
 
 
 @dataclass(frozen=True)
@@ -355,7 +355,7 @@ def scan_licenses(df: DataFrame, text_col: str = "text", words_col: str = "n_wor
                     names=[*batch.schema.names, words_col, out_col],
                 )
 
-    return keep.mapInArrow(run, extended(keep, **{words_col: "long", out_col: DETECTIONS}))
+    return map_arrow(keep, run, extended(keep, **{words_col: "long", out_col: DETECTIONS}))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

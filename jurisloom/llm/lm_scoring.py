@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_crc, materialise, slices
+from .common import documents, id_crc, map_arrow, materialise, slices
 
 ORDER = 4
 BITS = 9
@@ -41,7 +42,9 @@ SHARD_GRAMS = 6_000_000
 #: Words whose counts are broadcast (about 10 MB); all others are joined.
 FREQUENT = 100_000
 #: Distinct words, and byte strings, that a training task holds before it passes them on.
-HELD_WORDS, HELD_GRAMS = 400_000, 3_000_000
+HELD_WORDS, HELD_GRAMS = 150_000, 1_000_000
+#: Rows of a batch that a training task passes on.
+TOLD_ROWS = 50_000
 
 
 def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,19 +89,20 @@ def gather(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]
         grams: list[tuple[np.ndarray, np.ndarray]] = []
 
         def told() -> Iterator[pa.RecordBatch]:
-            if words:
-                n = len(words)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(words), pa.binary()), pa.nulls(n, pa.int64()), pa.array(list(words.values()), pa.int64())], names=["word", "gram", "c"]
-                )
-                words.clear()
+            pairs = iter(words.items())
+            while part := list(islice(pairs, TOLD_ROWS)):
+                n = len(part)
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.nulls(n, pa.int64()), pa.array([c for _, c in part], pa.int64())], names=["word", "gram", "c"])
+            words.clear()
             if grams:
                 key, c = _merged(grams)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.binary()), pa.array(key), pa.array(c)], names=["word", "gram", "c"])
-                grams.clear()
+                for k in range(0, len(key), TOLD_ROWS):
+                    some = slice(k, k + TOLD_ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(key[some]), pa.binary()), pa.array(key[some]), pa.array(c[some])], names=["word", "gram", "c"])
+            grams.clear()
 
         for whole in batches:
-            for batch in slices(whole, text_col, 2 << 20):
+            for batch in slices(whole, text_col, 1 << 20):
                 texts = batch.column(text_col)
                 for t in texts.to_pylist():
                     words.update((t or "").encode().lower().split())
@@ -106,13 +110,13 @@ def gather(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]
                 key = np.sort(symbols(texts)[0])
                 new = np.flatnonzero(np.diff(key, prepend=-1))
                 grams.append((key[new], np.diff(np.append(new, len(key)))))
-                if len(grams) > 16:
+                if len(grams) > 8:
                     grams[:] = [_merged(grams)]
                 if len(words) > HELD_WORDS or sum(len(k) for k, _ in grams) > HELD_GRAMS:
                     yield from told()
         yield from told()
 
-    parts = materialise(df.select(text_col).mapInArrow(run, "word binary, gram long, c long"), "lm-counts")
+    parts = materialise(map_arrow(df.select(text_col), run, "word binary, gram long, c long"), "lm-counts")
     total = lambda c: materialise(parts.filter(f"{c} is not null").groupBy(c).agg(F.sum("c").alias("c")), f"lm-{c}")
     return total("word"), total("gram")
 
@@ -333,8 +337,8 @@ def score(df: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str
                     row += n
 
         kind = rows.schema["mark"].dataType.simpleString()
-        part = rows.mapInArrow(
-            run, f"row long, id long, mark {kind}, score double, n_tokens long, n_known long, base double, rare array<binary>, rare_n array<long>"
+        part = map_arrow(
+            rows, run, f"row long, id long, mark {kind}, score double, n_tokens long, n_known long, base double, rare array<binary>, rare_n array<long>"
         )
         part = materialise(part, "lm-scored")
         if scored is None:

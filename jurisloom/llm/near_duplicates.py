@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, slices
+from .common import documents, map_arrow, materialise, slices
 from .components import connected_components
 from .shingles import U, _odd, mix, sets, shingles
 
@@ -94,7 +94,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
                     names=["id", "text_hash", "key", "n", "bands"],
                 )
 
-    return source.mapInArrow(run, "id long, text_hash long, key binary, n long, bands array<long>")
+    return map_arrow(source, run, "id long, text_hash long, key binary, n long, bands array<long>")
 
 
 def set_key(own: np.ndarray) -> bytes:

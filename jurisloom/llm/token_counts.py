@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, extended, slices, text_or_empty
+from .common import documents, extended, map_arrow, slices, text_or_empty
 
 #: Characters of a chunk, of the first overlap, and of a chunk's untrusted end
 #: (longer than any added token by far).
@@ -177,7 +177,7 @@ def count_tokens(
                     [*batch.columns, pa.array(counts)], names=[*batch.schema.names, out_col]
                 )
 
-    return keep.mapInArrow(run, schema)
+    return map_arrow(keep, run, schema)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, scratch_path, slices, text_or_empty
+from .common import documents, map_arrow, materialise, scratch_path, slices, text_or_empty
 from .files import read_file, whole_file
 from .token_counts import CHUNK_CHARS, Coder, coder, encode_long
 
@@ -41,8 +41,8 @@ MAGIC = b"JLTOKEN1"
 BLOCK_IDS = 65_536
 #: Ids that one read task takes, about.
 READ_IDS = 4_000_000
-#: Pre-tokens that a worker remembers, and the longest of them.
-CACHED_PIECES, CACHED_CHARS = 1_000_000, 48
+#: Pre-tokens that a task remembers, and the longest of them.
+CACHED_PIECES, CACHED_CHARS = 300_000, 48
 
 
 def bits_for(vocab_size: int) -> int:
@@ -121,6 +121,10 @@ class TextEncoder:
         self.code = code
         self.words = _Words(code) if code.resynchronises else None
 
+    def forget(self) -> None:
+        if self.words is not None:
+            self.words.clear()
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
@@ -253,13 +257,14 @@ def write_shards(
             for batch in batches:
                 add(batch)
             w.close()
+        encode.forget()
         yield pa.RecordBatch.from_pydict(
             {"shard": [number], "file": [f"{directory}/{name}"], "n_docs": [len(w.doc_ids)], "n_ids": [w.n_ids]}
         )
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    shards = materialise(rows.mapInArrow(run, "shard long, file string, n_docs long, n_ids long"), "shards")
+    shards = materialise(map_arrow(rows, run, "shard long, file string, n_docs long, n_ids long"), "shards")
     # A row per shard: few, whatever the size of the corpus.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
@@ -311,7 +316,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 )
                 shard.close()
 
-    return tasks.repartition(int(min(n, 20_000))).mapInArrow(run, schema)
+    return map_arrow(tasks.repartition(int(min(n, 20_000))), run, schema)
 
 
 def token_output(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:

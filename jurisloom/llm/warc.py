@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path
+from .common import map_arrow, materialise, scratch_path
 from .files import read_stream, whole_file
 
 CHUNK_BYTES = 1 << 20
@@ -122,7 +122,7 @@ def write_archives(chunk_rows: DataFrame, directory: str, level: int = 1) -> Dat
                 raise ValueError("the last record isn't whole")
         yield pa.RecordBatch.from_pydict({"file": [f"{directory}/{name}"], "records": [records]})
 
-    return chunk_rows.mapInArrow(run, "file string, records long")
+    return map_arrow(chunk_rows, run, "file string, records long")
 
 
 class _Member:
@@ -221,7 +221,7 @@ def read_archives(files: DataFrame, chunk_bytes: int = CHUNK_BYTES, payload: boo
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return files.select("file").repartition(min(n, 20_000)).mapInArrow(run, RECORDS)
+    return map_arrow(files.select("file").repartition(min(n, 20_000)), run, RECORDS)
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", directory: str | None = None) -> DataFrame:
