@@ -7,6 +7,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 #: What a column takes when both sides have the key.
 NEW, OLD, FILLED = "new", "old", "filled"
@@ -69,7 +70,7 @@ class Snapshots:
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: str) -> None:
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), DataType.fromDDL(schema)
 
     def _pointer(self) -> str | None:
         try:

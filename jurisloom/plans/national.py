@@ -198,11 +198,6 @@ def merge_policy(table: str) -> tuple[dict, str]:
     }[table]
 
 
-def _ddl(struct: str) -> str:
-    """Column list of a struct's declaration."""
-    return struct.removeprefix("struct<")[:-1]
-
-
 def import_articles(spark: SparkSession, source: str, root: str, excluded: tuple[str, ...] = EXCLUDED_STATES) -> dict[str, int]:
     """Import an archive, folder or file into the snapshots under ``root``; gives the counts.
 
@@ -214,7 +209,7 @@ def import_articles(spark: SparkSession, source: str, root: str, excluded: tuple
     articles = spark.read.parquet(path)
     for name, df in tables(articles).items():
         policy, default = merge_policy(name)
-        Snapshots(spark, f"{root}/{name}", _ddl({"texte": schemas.TEXT, "unite": schemas.UNIT, "version": schemas.VERSION, "relation": schemas.RELATION}[name])).upsert(df, ["id"], policy, default)
+        Snapshots(spark, f"{root}/{name}", schemas.TABLES[name]).upsert(df, ["id"], policy, default)
     return counters(files.select("path"), articles).head().asDict()
 
 

@@ -29,9 +29,13 @@ def clamp_k(value: object, default: int = 10) -> int:
 
 
 def vector_top(df: DataFrame, query: list[float], k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """The ``k`` rows most similar to the query (ties by id), with ``vector_score``."""
+    """The ``k`` rows most similar to the query (ties by id), with ``vector_score``.
+
+    Rows without a similarity sort last and are dropped after the limit, so that
+    the similarity is computed once.
+    """
     scored = df.withColumn("vector_score", vectors.cosine_similarity(F.col(vector_col), vectors.literal(query)))
-    return scored.filter("vector_score is not null").orderBy(F.desc("vector_score"), F.asc(id_col)).limit(k)
+    return scored.orderBy(F.desc("vector_score"), F.asc(id_col)).limit(k).filter("vector_score is not null")
 
 
 def blend(df: DataFrame, weight: float, k: int, id_col: str = "id") -> DataFrame:

@@ -17,6 +17,8 @@ RELATION = (
     "struct<id:string,version_source_id:string,source_unite_id:string,type_relation:string,sens:string,cible_source_id:string,cible_texte_source_id:string,"
     "cible_numero:string,cible_nature_texte:string,cible_numero_texte:string,cible_nor_texte:string,date_signature_texte:date,libelle:string>"
 )
+#: Row types of the tables of the national corpus.
+TABLES = {"texte": TEXT, "unite": UNIT, "version": VERSION, "relation": RELATION}
 ARTICLE = f"struct<reject_reason:string,texte:{TEXT},unite:{UNIT},version:{VERSION},relations:array<{RELATION}>>"
 PROVISION = (
     "struct<provision_id:string,celex:string,cellar_uuid:string,kind:string,parent_id:string,ordinal:int,fmx_member:string,xml_path:string,article_label:string,"
