@@ -36,7 +36,7 @@ SHINGLE = 5
 #: Most weight of a piece; a piece's lowest bit says how much it has, 1 or 2.
 PIECE = 2
 #: Text of a bucket of neighbouring documents, about, and the most buckets.
-BUCKET_BYTES, MOST_BUCKETS = 3 << 20, 65_536
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 65_536
 #: A rank has 56 bits, of which 49 are fractions of ln a; bins stand above them.
 RANK_BITS, FRACTION = 56, float(1 << 49)
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialise
 
-BINS = 65_536
+BINS, COARSE = 65_536, 256
 MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
 SEED = "mix-1"
@@ -82,12 +82,15 @@ def decide(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX
     p = F.col("due") / F.col("source_size")
     plan = plan.withColumn("odds", F.when((F.col("source_size") > 0) & (F.col("due") > 0), p / (1 - p)))
     plan = materialise(plan, "mix-plan")
-    run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("words").over(run), F.lit(0))
-    fills = _with_sources(bins.withColumn("before", before), plan.filter("odds is not null")).filter(
-        (F.col("before") <= F.col("due")) & (F.col("before") + F.col("words") > F.col("due"))
-    )
-    fills = fills.select("source", F.col("bin").alias("fill_bin"), "before", "due", "odds")
+    # First the block of bins, then the bin in which a source fills up: windows of COARSE and BINS / COARSE rows.
+    state = plan.filter("odds is not null").select("source", F.lit(0).alias("start"), "due", "odds")
+    block = (F.col("bin") / (BINS // COARSE)).cast("int")
+    blocks = bins.groupBy("source", block.alias("place")).agg(F.sum("words").alias("words"))
+    fills = _filling(blocks, state).withColumnRenamed("place", "block")
+    inner = _with_sources(bins.withColumn("at", block), fills.select("source", "block")).filter(F.col("at") == F.col("block"))
+    inner = inner.select("source", F.col("bin").alias("place"), "words")
+    fills = _filling(inner, fills.select("source", F.col("before").alias("start"), "due", "odds"))
+    fills = materialise(fills.select("source", F.col("place").alias("fill_bin"), "before", "due", "odds"), "mix-fills")
     close = _with_sources(binned, fills).filter(F.col("bin") == F.col("fill_bin"))
     close = close.withColumn("rank", _rank())
     run = Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,6 +104,17 @@ def decide(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX
     return materialise(plan, "mix-decisions")
 
 
+def _filling(sums: DataFrame, state: DataFrame) -> DataFrame:
+    """Of each source the ``place`` whose ``words`` reach what is due, and the words ``before`` it.
+
+    ``state`` has the words before all places (``start``), ``due`` and ``odds``.
+    """
+    run = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.withColumn("ahead", F.coalesce(F.sum("words").over(run), F.lit(0)))
+    rows = _with_sources(ahead, state).withColumn("before", F.col("start") + F.col("ahead"))
+    return rows.filter((F.col("before") <= F.col("due")) & (F.col("before") + F.col("words") > F.col("due"))).select("source", "place", "before", "due", "odds")
+
+
 def _rank() -> Column:
     q = (F.col("u") / (1 - F.col("u"))) / F.col("odds")
     return F.struct(q.alias("q"), F.col("id").alias("id"), F.col("size").alias("size"))
