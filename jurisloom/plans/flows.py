@@ -1,0 +1,107 @@
+"""The builds end to end: what the command lines of the corpus tools do, as functions over paths."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schemas
+from ..operators.merge import Snapshots
+from ..sources.archives import read_xml
+from ..sources.jsonl import write_jsonl
+from ..sources.remote import look_up, pending
+from . import european, measures, national
+
+LOG = "source string, started_at timestamp, finished_at timestamp, stats map<string,bigint>"
+MODELS = "id string, name string, dimension int, normalise boolean"
+EMBEDDINGS = "version_id string, model string, content_checksum string, embedding array<float>"
+
+
+def table(spark: SparkSession, root: str, name: str) -> Snapshots:
+    """A table under a corpus root."""
+    kinds = dict(schemas.TABLES) | {"import_log": LOG, "embedding_model": MODELS, "version_embedding": EMBEDDINGS}
+    return Snapshots(spark, f"{root}/{name}", kinds[name])
+
+
+def build_national(spark: SparkSession, source: str, root: str, excluded: tuple[str, ...] = national.EXCLUDED_STATES) -> dict[str, int]:
+    """Import an archive and log the run with its counts."""
+    began = datetime.now(timezone.utc)
+    stats = national.import_articles(spark, source, root, excluded)
+    log = table(spark, root, "import_log")
+    entry = spark.createDataFrame([(source, began, datetime.now(timezone.utc), {k: int(v) for k, v in stats.items()})], LOG)
+    log.replace(log.read().unionByName(entry))
+    return stats
+
+
+def vectorise(
+    spark: SparkSession, root: str, encoder_factory: Callable[[], Callable[[list[str]], list[list[float]]]], model: str, dimension: int, state: str = "VIGUEUR", normalise: bool = True
+) -> int:
+    """Embed the versions in force that have no current embedding; gives their number.  Runs that stop are continued."""
+    models = table(spark, root, "embedding_model")
+    known = {r["name"]: r["dimension"] for r in models.read().collect()}
+    if known.get(model, dimension) != dimension:
+        raise ValueError(f"{model} has {known[model]} dimensions, not {dimension}")
+    models.upsert(spark.createDataFrame([(model, model, dimension, normalise)], MODELS), ["id"])
+    versions, units, texts = (table(spark, root, n).read() for n in ("version", "unite", "texte"))
+    stored = table(spark, root, "version_embedding")
+    todo = national.stale(versions, stored.read(), model, state)
+    documents = national.documents_to_embed(todo, units, texts)
+    path = f"{root}/_embedded"
+    national.embed(documents, encoder_factory, model, dimension, normalise).write.mode("overwrite").parquet(path)
+    new = spark.read.schema(EMBEDDINGS).parquet(path)
+    stored.replace(national.refreshed(stored.read(), new))
+    return new.count()
+
+
+def build_european(spark: SparkSession, zip_path: str, root: str, remote: DataFrame | None = None, transport_factory: Callable | None = None, batch: int = 250) -> dict[str, DataFrame]:
+    """Inventory, identities, provisions, normalisation and import of an archive.
+
+    Remote answers (``cellar_uuid, status, same_as``) come as a table or from a
+    transport, and are kept: objects answered before aren't asked again.  Each
+    stage is written once; audits go to ``root/audit``.
+    """
+    content = read_xml(spark, zip_path)
+    european.inventory(content).write.mode("overwrite").parquet(f"{root}/inventory")
+    members = spark.read.parquet(f"{root}/inventory")
+    offline = european.decide_identity(european.weigh_candidates(members), members)
+    if remote is None:
+        answers = Snapshots(spark, f"{root}/remote", "cellar_uuid string, status string, same_as array<string>")
+        if transport_factory is not None:
+            work = pending(members.select("cellar_uuid").distinct(), answers.read(), "cellar_uuid")
+            found = look_up(work, "cellar_uuid", transport_factory, batch)
+            status = F.when(F.col("status") == "ERROR", "SPARQL_ERROR")
+            found = found.select(F.col("key").alias("cellar_uuid"), status.alias("status"), F.coalesce(F.from_json("answer", "array<string>"), F.array().cast("array<string>")).alias("same_as"))
+            answers.upsert(found, ["cellar_uuid"])
+        remote = answers.read()
+    european.reconcile(offline, european.classify_aliases(remote)).write.mode("overwrite").parquet(f"{root}/identity")
+    identity = spark.read.parquet(f"{root}/identity")
+    for name, df in european.identity_audits(identity).items():
+        write_jsonl(df, f"{root}/audit/{name}")
+    european.provisions(identity, members, content.select(F.col("path").alias("member"), "content")).write.mode("overwrite").parquet(f"{root}/parsed")
+    parsed = spark.read.parquet(f"{root}/parsed")
+    write_jsonl(parsed.select("cellar_uuid", "celex", "member", F.explode("warnings").alias("w")).select("cellar_uuid", "celex", "member", "w.*"), f"{root}/audit/warnings")
+    write_jsonl(parsed.filter("parse_error is not null").select("cellar_uuid", "celex", "member", "parse_error"), f"{root}/audit/errors")
+    rows = parsed.select(F.explode("provisions").alias("p")).select("p.*")
+    normal = european.normalise(identity, rows)
+    write_jsonl(normal["missing_targets"], f"{root}/audit/missing_targets")
+    ready = european.prepare_import(european.canonical_act(normal["documents"]), normal["provisions"])
+    write_jsonl(ready["invalid"].select("provision_id", "problems"), f"{root}/audit/invalid")
+    for name in ("acts", "provisions"):
+        ready[name].write.mode("overwrite").parquet(f"{root}/{name}")
+    out = {name: spark.read.parquet(f"{root}/{name}") for name in ("acts", "provisions")}
+    european.check_import(rows.count(), ready["provisions"].count() + ready["invalid"].count(), out["provisions"].count() + ready["invalid"].count())
+    return out | {"identity": identity, "relations": normal["relations"]}
+
+
+def build_measures(spark: SparkSession, identity: DataFrame, triples: DataFrame, root: str) -> dict[str, DataFrame]:
+    """Implementing measures of the resolved directives and their metadata, as JSONL."""
+    found = measures.edges(triples, measures.directives(identity))
+    links = measures.logical_links(found)
+    fields = measures.metadata(triples, links.select(F.col("nim_work_uri").alias("work")))
+    out = {"edges": found, "links": links, "metadata": fields, "bindings": measures.flat(fields)}
+    for name, df in out.items():
+        write_jsonl(df, f"{root}/{name}")
+    return out

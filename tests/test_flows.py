@@ -350,3 +350,29 @@ def test_reports(spark):
     right = spark.createDataFrame([(1, "a"), (1, "B"), (2, "y")], "k int, x string")
     assert {r["k"]: r["agreement"] for r in reports.agreement(left, right, "k", "x").collect()} == {1: "EXACT", 2: "DISAGREEMENT"}
     assert reports.missing_ids(left, ["1", "7"], "k") == ["1", "7"] or reports.missing_ids(left.select(F.col("k").cast("string").alias("k")), ["1", "7"], "k") == ["7"]
+
+
+def uuid_transport():
+    base = "http://publications.europa.eu/resource/celex/"
+    return lambda keys: {k: [base + "32000L0060"] for k in keys if k == "u"}
+
+
+def test_builds_end_to_end(spark, tmp_path):
+    from jurisloom.plans import flows
+
+    tar_of(tmp_path / "a.tar.gz", {"x/1.xml": article(versions=CHAIN, links=LINK), "x/2.xml": article("LEGIARTI5")})
+    root = str(tmp_path / "fr")
+    assert flows.build_national(spark, str(tmp_path / "a.tar.gz"), root)["imported"] == 2
+    assert flows.table(spark, root, "import_log").read().head()["stats"]["imported"] == 2
+    assert flows.vectorise(spark, root, Encoder, "m", 2) == 2
+    assert flows.vectorise(spark, root, Encoder, "m", 2) == 0
+    with pytest.raises(ValueError):
+        flows.vectorise(spark, root, Encoder, "m", 3)
+    doc = b'<DOC CELEX="32000L0060"/>'
+    (tmp_path / "eu.zip").write_bytes(archives.zip_of({"u/a.doc.xml": doc, "u/act.fmx.xml": ACT, "w/act.fmx.xml": ACT}))
+    out = flows.build_european(spark, str(tmp_path / "eu.zip"), str(tmp_path / "eu"), transport_factory=uuid_transport)
+    assert out["provisions"].count() == 5 and [r["celex"] for r in out["acts"].collect()] == ["32000L0060"]
+    same, rel = measures.SAME_AS, measures.CDM + measures.RELATIONS[1]
+    triples = spark.createDataFrame([("w1", same, measures.CELEX_URI + "32000L0060"), ("n1", same, measures.CELEX_URI + "72000L0060FRA_1"), ("n1", rel, "w1")], "s string, p string, o string")
+    got = flows.build_measures(spark, out["identity"], triples, str(tmp_path / "nim"))
+    assert got["bindings"].head()["nim_work"] == "n1"
