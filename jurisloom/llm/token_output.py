@@ -20,12 +20,9 @@ Shard numbers follow the order of document ids, so shard ``k`` continues where
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +31,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, map_arrow, materialise, scratch_path, slices, text_or_empty
+from .encoding import text_encoder
 from .files import read_file, whole_file
-from .token_counts import CHUNK_CHARS, Coder, coder, encode_long
 
 MAGIC = b"JLTOKEN1"
 BLOCK_IDS = 65_536
 #: Ids that one read task takes, about.
 READ_IDS = 4_000_000
-#: Pre-tokens that a task remembers, and the longest of them.
-CACHED_PIECES, CACHED_CHARS = 300_000, 48
 
 
 def bits_for(vocab_size: int) -> int:
@@ -65,82 +60,6 @@ def unpack(data: bytes, count: int, bits: int) -> np.ndarray:
     return flat.reshape(count, bits).astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
-# The letters, numbers and white space of Unicode below U+0250, and
-# the published byte-level pre-token pattern written with them.
-LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-SPACES = r"\t\n\v\f\r \x85\xa0"
-PRE_TOKEN = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
-)
-LATIN_END = "\u0250"
-
-
-class _Words(dict):
-    """The model's ids of single pre-tokens."""
-
-    def __init__(self, code: Coder) -> None:
-        super().__init__()
-        self.model = code.model
-        self.chars = byte_chars()
-        self.space = chr(self.chars[32])
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable():
-            mapped = word.replace(" ", self.space)
-        else:
-            mapped = word.encode().decode("latin-1").translate(self.chars)
-        found = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[word] = found
-        return found
-
-
-def byte_chars() -> dict[int, int]:
-    """The character that stands for each byte in a byte-level vocabulary.
-
-    Printable Latin-1 characters stand for themselves, the other bytes in
-    ascending order for the characters from U+0100 on.
-    """
-    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in own)}
-
-
-class TextEncoder:
-    """Ids of whole texts, with a bounded memory of pre-tokens already encoded.
-
-    With a byte-level tokenizer pre-tokens are encoded one by one, so a text
-    below ``LATIN_END`` is cut into them and each goes to the library's model
-    once.  Texts with other characters or an added token, and those of other
-    tokenizers, go to the library whole, huge ones in overlapping chunks.
-    """
-
-    def __init__(self, code: Coder) -> None:
-        self.code = code
-        self.words = _Words(code) if code.resynchronises else None
-
-    def forget(self) -> None:
-        if self.words is not None:
-            self.words.clear()
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        plain = self.words is not None and (text.isascii() or max(text) < LATIN_END)
-        if plain and not any(t in text for t in self.code.added):
-            return np.frombuffer(b"".join(map(self.words.__getitem__, PRE_TOKEN.findall(text))), np.uint32)
-        if len(text) <= CHUNK_CHARS:
-            return np.array(self.code.encode_many([text])[0], np.uint32)
-        return np.concatenate([np.array(run, np.uint32) for run in encode_long(text, self.code)])
-
-
-@lru_cache(maxsize=4)
-def text_encoder(path: str) -> TextEncoder:
-    return TextEncoder(coder(path))
-
-
 class ShardWriter:
     """Appends documents to a shard; holds one block of ids and 17 bytes a document."""
 

@@ -6,7 +6,7 @@ import public_tokenizers
 import corpus_pipeline as cp
 from jurisloom.llm import mixing as mx
 from jurisloom.llm.shingles import written_shingles
-from jurisloom.llm.token_counts import coder
+from jurisloom.llm.encoding import coder
 
 from .test_decontamination import brute as leaks
 from .test_near_duplicates import brute as classes

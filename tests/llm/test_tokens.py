@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from jurisloom.llm import encoding as en
 from jurisloom.llm import token_counts as tc
 from jurisloom.llm import token_output as to
 
@@ -14,20 +15,20 @@ ODD = ["", "a", "a" * 900, " " * 500 + "x", "<|endoftext|>" * 60, "ab <|endoftex
 
 
 def whole(text):
-    return tc.coder(PATH).encode_many([text])[0]
+    return en.coder(PATH).encode_many([text])[0]
 
 
 @pytest.mark.parametrize("text", ODD)
 @pytest.mark.parametrize("sizes", [(60, 20, 15), (200, 40, 20)])
 def test_chunks_join_to_the_whole_encoding(text, sizes):
-    assert [i for run in tc.encode_long(text, tc.coder(PATH), *sizes) for i in run] == whole(text)
+    assert [i for run in en.encode_long(text, en.coder(PATH), *sizes) for i in run] == whole(text)
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab '\n\té1!<|>endoftx  \x85\xa0\x1c\u2028²½ªß日🙂\u0301", max_size=400) | st.text(max_size=200))
 def test_chunks_and_pieces_of_any_text(text):
-    assert [i for run in tc.encode_long(text, tc.coder(PATH), 50, 10, 15) for i in run] == whole(text)
-    assert to.text_encoder(PATH).encode(text).tolist() == whole(text)
+    assert [i for run in en.encode_long(text, en.coder(PATH), 50, 10, 15) for i in run] == whole(text)
+    assert en.text_encoder(PATH).encode(text).tolist() == whole(text)
 
 
 @pytest.mark.parametrize("bits", [1, 7, 8, 15, 16, 17, 31, 32])
@@ -76,3 +77,18 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert tc.count_tokens(df, PATH).count() == 0
     assert to.token_output(df, PATH).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"])
+def test_counts_of_other_tokenizers(spark, name):
+    path = public_tokenizers.path(name)
+    texts = [*ODD, "Plain words, and MORE words. " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in tc.count_tokens(df, path, chunk=500).collect()}
+    code = en.coder(path)
+    assert got == {k: len(code.encode_many([t])[0]) if t else 0 for k, t in enumerate(texts)}
+    assert en.coder(public_tokenizers.path("byte_bpe_50k.json")).resynchronises
+
+
+def test_bits():
+    assert [to.bits_for(n) for n in (1, 2, 3, 256, 257, 50257)] == [1, 1, 2, 8, 9, 16]
