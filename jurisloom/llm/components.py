@@ -17,8 +17,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     neighbours the smallest one it knows, until the edges stop changing; the
     number of rounds grows with the logarithm of the longest path.  Steps are
     aggregations and joins on a node with a table that is unique in it, so a
-    node with very many edges is summed in the tasks and split by the join.
-    Each round is written to the shared folder, so lost executors cost a task
+    node with very many edges is summed in the tasks and split by the join
+    (the unique side is written first: a join over an aggregation in the same
+    stage can't be split).  Each round is written to the shared folder, so lost executors cost a task
     and never the lineage.
     """
     spark = edges.sparkSession
@@ -27,10 +28,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     before = None
     for _ in range(MOST_ROUNDS):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.filter("u != v").distinct(), "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         linked = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = materialise(linked.union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "small-star")
         now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()

@@ -220,10 +220,12 @@ def similarity_classes(
     texts = materialise(texts, "texts")
 
     met = texts.select("key", F.explode("bands").alias("h"))
-    lead = met.groupBy("h").agg(F.min("key").alias("lead"), F.count("*").alias("met")).filter("met > 1").drop("met")
+    # Sides that are unique in the key are written before joins, so that the joins can split hot keys.
+    lead = materialise(met.groupBy("h").agg(F.min("key").alias("lead"), F.count("*").alias("met")).filter("met > 1").drop("met"), "leads")
     parts = connected_components(met.join(lead, "h").filter("key != lead"), "key", "lead")
     members = materialise(parts.join(texts.select(F.col("key").alias("node"), "n", "first_id", "copies"), "node"), "members")
     size = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    size = materialise(size, "sizes")
     members = materialise(
         members.join(size, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocks"
     )
@@ -253,11 +255,12 @@ def similarity_classes(
     linked = verified.groupBy("node").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
     labels = texts.select(F.col("key").alias("node"), "first_id", "copies").join(classes, "node", "left").join(linked, "node", "left")
     labels = labels.withColumn("class", F.coalesce("class", "node"))
-    class_id = labels.groupBy("class").agg(F.min("first_id").alias("class_id"))
+    labels = materialise(labels, "labels")
+    class_id = materialise(labels.groupBy("class").agg(F.min("first_id").alias("class_id")), "class-ids")
     labels = labels.join(class_id, "class").select(
         F.col("node").alias("key"), "class", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("text_links", F.lit(0)).alias("n_text_links")
     )
-    out = docs.select("id", "text_hash", "key").join(labels, "key", "left")
+    out = docs.select("id", "text_hash", "key").join(materialise(labels, "class-labels"), "key", "left")
     return out.select(
         "id", "text_hash", "class", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"),
@@ -271,9 +274,9 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     may have to go, and only those meet the list of rows to drop.
     """
     rows = materialise(similarity_classes(df, id_col, text_col, threshold), "classes")
-    grouped = rows.filter("class is not null").groupBy("class", "id", "text_hash").agg(F.count("*").alias("times"))
+    grouped = materialise(rows.filter("class is not null").groupBy("class", "id", "text_hash").agg(F.count("*").alias("times")), "class-rows")
     first = grouped.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first"))
-    marked = grouped.join(first, "class").withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    marked = grouped.join(materialise(first, "class-first"), "class").withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash")))
     special = materialise(marked.filter("not stays or times > 1").select("id", "text_hash", "stays"), "dropped")
     bitmap = materialise(bitmap_of(F.xxhash64("id", "text_hash"), special), "dropped-bitmap")
     keyed = df.withColumn("__id", F.col(id_col).cast("long")).withColumn("__hash", F.xxhash64(text_col))
