@@ -34,24 +34,25 @@ def classify(pages: DataFrame, id_col: str = "page_id", payload: Column | None =
     Only (digest, id) pairs are grouped, summed in the tasks first; a hot digest
     is one row there, and the join splits its side.  Null payloads are empty
     and, like all short ones, responses.  Null ids count as larger than any
-    other; rows that repeat an id with its payload are all responses.
+    other; rows that repeat an id with its payload are all responses.  Columns
+    already called like the new ones are replaced, others stay.
     """
     body = (payload if payload is not None else F.coalesce(F.col("html"), F.lit(""))).cast("binary")
     rows = pages.withColumn("payload", body)
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     first = (
         rows.filter(F.col("payload_bytes") >= REVISIT_BYTES)
-        .groupBy(F.col("payload_digest").alias("digest"))
-        .agg(F.min(id_col).alias("first_id"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .drop("n")
+        .groupBy(F.col("payload_digest").alias("__digest"))
+        .agg(F.min(id_col).alias("__first"), F.count("*").alias("__n"))
+        .filter("__n > 1")
+        .drop("__n")
     )
-    rows = rows.join(first, (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") >= REVISIT_BYTES), "left")
-    again = F.col("first_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("first_id"))
+    rows = rows.join(first, (F.col("payload_digest") == F.col("__digest")) & (F.col("payload_bytes") >= REVISIT_BYTES), "left")
+    again = F.col("__first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("__first"))
     return (
         rows.withColumn("record_type", F.when(again, F.lit("revisit")).otherwise(F.lit("response")))
-        .withColumn("refers_to", F.when(again, F.col("first_id")))
-        .drop("digest", "first_id")
+        .withColumn("refers_to", F.when(again, F.col("__first")))
+        .drop("__digest", "__first")
     )
 
 

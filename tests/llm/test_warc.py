@@ -49,7 +49,8 @@ def test_a_cut_archive_is_refused(spark, tmp_path):
 
 
 def test_repeated_and_null_ids(spark):
-    df = spark.createDataFrame([(1, "u", LONG), (1, "u", LONG), (None, "u", LONG), (2, "u", LONG)], "id long, url string, html string")
+    df = spark.createDataFrame([(1, "u", LONG, "x"), (1, "u", LONG, "x"), (None, "u", LONG, "x"), (2, "u", LONG, "x")], "id long, url string, html string, digest string")
+    assert {r["digest"] for r in warc.classify(df, "id").collect()} == {"x"}
     got = sorted(((r["id"], r["record_type"], r["refers_to"]) for r in warc.classify(df, "id").collect()), key=str)
     assert got == [(1, "response", None), (1, "response", None), (2, "revisit", 1), (None, "revisit", 1)]
     assert warc.read_archives(warc.archive(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
