@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that count as white space, spelled out so that every engine agrees.
-SPACE = r"[\t\n\u000B\f\r\u001C-\u001F \u0085   -     　]"
+SPACE = r"[\t\n\u000B\f\r\u001C-\u001F \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 # Latin letters with an accent, and the letters that a compatibility decomposition leaves of them.
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćĈĉĊċČčĎďĒēĔĕĖėĘęĚěĜĝĞğĠġĢģĤĥĨĩĪīĬĭĮįİĴĵĶķĹĺĻļĽľŃńŅņŇňŌōŎŏŐőŔŕŖŗŘřŚśŜŝŞşŠšŢţŤťŨũŪūŬŭŮůŰűŲųŴŵŶŷŸŹźŻżŽž"
 PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcCcCcDdEeEeEeEeEeGgGgGgGgHhIiIiIiIiIJjKkLlLlLlNnNnNnOoOoOoRrRrRrSsSsSsSsTtTtUuUuUuUuUuUuWwYyYZzZzZz"
@@ -33,7 +33,7 @@ def clean_markup(html: Column) -> Column:
     x = F.regexp_replace(x, "<[^>]*>", "")
     for name, sign in ENTITIES.items():
         x = F.replace(x, F.lit(name), F.lit(sign))
-    x = F.replace(x, F.lit(" "), F.lit(" "))
+    x = F.replace(x, F.lit("\u00a0"), F.lit(" "))
     x = F.regexp_replace(x, "[ \\t]+", " ")
     x = F.regexp_replace(x, "\\n[ \\t]+", "\n")
     return F.regexp_replace(F.regexp_replace(x, "\\n{3,}", "\n\n"), "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "")
