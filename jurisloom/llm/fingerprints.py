@@ -150,7 +150,10 @@ def fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fingerpri
 def bounds_of(df: DataFrame, id_col: str, bucket_bytes: int = BUCKET_BYTES) -> tuple[list[int], int | None]:
     """Ids that end buckets of neighbouring documents, and the largest id."""
     n, total, top = df.agg(F.count("*"), F.sum(F.octet_length("text")), F.max(id_col)).head()
-    buckets = max(1, min(MOST_BUCKETS, math.ceil((total or 0) / bucket_bytes), n))
+    by_size, cores = math.ceil((total or 0) / bucket_bytes), df.sparkSession.sparkContext.defaultParallelism
+    # Small tables still use the cores there are, in buckets of at least 1 MB.
+    spread = min(2 * cores, math.ceil((total or 0) / min(1 << 20, bucket_bytes)))
+    buckets = max(1, min(MOST_BUCKETS, max(by_size, spread), n))
     if buckets == 1 or top is None:
         return [], top
     shares = [k / buckets for k in range(1, buckets)]
@@ -189,7 +192,7 @@ def with_edits(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
         places.append(F.when(F.array_contains(F.lit(bounds).cast("array<bigint>"), F.col("id")), up).otherwise(none))
     first = F.col("id").isNull() if top is None else F.col("id") == top
     places.append(F.when(first, F.array(F.struct(F.lit(0).alias("bucket"), F.lit(True).alias("guest")))).otherwise(none))
-    rows = df.select("id", "text", F.inline(F.concat(*places))).repartition(len(bounds) + 1, "bucket")
+    rows = df.select("id", "text", F.inline(F.concat(*places))).repartitionByRange(len(bounds) + 1, "bucket")
     order = Window.partitionBy("bucket").orderBy("guest", F.col("id").desc_nulls_last(), "text")
     cut = F.floor(F.length("text") / 3).cast("int")
     follow = F.lead("text").over(order)
