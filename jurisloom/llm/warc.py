@@ -31,8 +31,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def classify(pages: DataFrame, id_col: str = "page_id", payload: Column | None = None) -> DataFrame:
     """``pages`` with ``payload, payload_bytes, payload_digest, record_type, refers_to``.
 
-    Only (digest, id) pairs are grouped, summed in the tasks first; a hot digest
-    is one row there, and the join splits its side.  Null payloads are empty
+    Only (digest, id) pairs are grouped, summed in the tasks first.  What repeats
+    is written before the join: if it is small Spark broadcasts it and no payload
+    moves, else a hot digest's payloads can be split over tasks.  Null payloads are empty
     and, like all short ones, responses.  Null ids count as larger than any
     other; rows that repeat an id with its payload are all responses.  Columns
     already called like the new ones are replaced, others stay.
@@ -47,6 +48,7 @@ def classify(pages: DataFrame, id_col: str = "page_id", payload: Column | None =
         .filter("__n > 1")
         .drop("__n")
     )
+    first = materialise(first, "repeated-payloads")
     rows = rows.join(first, (F.col("payload_digest") == F.col("__digest")) & (F.col("payload_bytes") >= REVISIT_BYTES), "left")
     again = F.col("__first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("__first"))
     return (
