@@ -158,7 +158,7 @@ LATIN_END = "\u0250"
 
 
 #: Pre-tokens that a task remembers, and the longest of them.
-CACHED_PIECES, CACHED_CHARS = 300_000, 48
+CACHED_PIECES, CACHED_CHARS = 200_000, 48
 
 
 class _Words(dict):

@@ -165,7 +165,7 @@ def predict(df: DataFrame, langs: list[str], model: np.ndarray, bits: int, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        size = max(1 << 16, (4 << 20) // max(1, len(langs) // 8))
+        size = max(1 << 16, (1 << 20) * 8 // max(8, len(langs)))
         for whole in batches:
             for batch in slices(whole, text_col, size):
                 texts = batch.column(text_col)
