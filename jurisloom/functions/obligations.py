@@ -188,9 +188,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both))
 
 
-def pair_score(left: dict[str, Column], right: dict[str, Column]) -> Column:
-    """Weighted mean of the fields' similarities where both sides have tokens, less for different modalities."""
-    parts = {k: jaccard(tokens(left[k]), tokens(right[k])) for k in PAIR_WEIGHTS}
+def pair_score(left: dict[str, Column], right: dict[str, Column], tokenised: bool = False) -> Column:
+    """Weighted mean of the fields' similarities where both sides have tokens, less for different modalities.
+
+    ``tokenised`` fields are arrays of tokens already.
+    """
+    cut = (lambda c: c) if tokenised else tokens
+    parts = {k: jaccard(cut(left[k]), cut(right[k])) for k in PAIR_WEIGHTS}
     got = sum((F.when(p.isNotNull(), F.lit(PAIR_WEIGHTS[k]) * p).otherwise(F.lit(0.0)) for k, p in parts.items()), F.lit(0.0))
     weight = sum((F.when(p.isNotNull(), F.lit(PAIR_WEIGHTS[k])).otherwise(F.lit(0.0)) for k, p in parts.items()), F.lit(0.0))
     factor = F.when(left["modality"].eqNullSafe(right["modality"]), F.lit(1.0)).otherwise(F.lit(OTHER_MODALITY))
