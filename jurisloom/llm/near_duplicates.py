@@ -167,8 +167,10 @@ def intersections(own: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     return total[left, right].astype(np.int64)
 
 
-def verify(key: list[bytes], texts: pa.Array, copies: np.ndarray, block: np.ndarray, bands: int, rows: int, threshold: float) -> tuple:
-    """Links among the texts of one group (two blocks: only between them).
+def verify(
+    key: list[bytes], texts: pa.Array, copies: np.ndarray, block: np.ndarray, two_blocks: bool, bands: int, rows: int, threshold: float
+) -> tuple:
+    """Links among the texts of one group (two blocks: only between them, even if one of them got no text).
 
     ``copies`` are numbers of documents.  Returns the indices kept (one for each
     key whose text has this key), links in documents and in texts, and roots.
@@ -188,7 +190,7 @@ def verify(key: list[bytes], texts: pa.Array, copies: np.ndarray, block: np.ndar
     near = np.zeros((n, n), bool)
     for b in range(bands):
         near |= sig[:, b, None] == sig[None, :, b]
-    if len(np.unique(block)) > 1:
+    if two_blocks:
         near &= block[:, None] != block[None, :]
     left, right = np.nonzero(np.triu(near, 1))
     size = np.array([len(s) for s in own], np.int64)
@@ -238,12 +240,13 @@ def similarity_classes(
     dealt = found.select("root", "node", "copies", "block", "text", other.alias("other"))
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
 
-    def check(table: pa.Table) -> pa.Table:
+    def check(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        _, low, high = (x.as_py() for x in group)
         t = table.combine_chunks()
         key = t["node"].to_pylist()
         keep, links, text_links, roots = verify(
             key, t["text"].combine_chunks() if isinstance(t["text"], pa.ChunkedArray) else t["text"],
-            t["copies"].to_numpy(), t["block"].to_numpy(), bands, rows, threshold,
+            t["copies"].to_numpy(), t["block"].to_numpy(), low != high, bands, rows, threshold,
         )
         return pa.table(
             {"node": pa.array([key[k] for k in keep], pa.binary()), "links": links, "text_links": text_links, "near": pa.array([key[keep[r]] for r in roots], pa.binary())}

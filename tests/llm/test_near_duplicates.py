@@ -75,6 +75,13 @@ def test_large_components_in_blocks(spark, monkeypatch, size):
     assert classes(spark, rows) == brute(rows)
 
 
+def test_blocks_without_a_text(spark, monkeypatch):
+    """Few long near copies are dealt into more blocks than get a text; a pair counts once all the same."""
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 150)
+    rows = [(100 * c + k, t) for c in range(12) for k, t in enumerate(near_copies(2 + c % 4, 120, 10 + c))]
+    assert classes(spark, rows) == brute(rows)
+
+
 def test_recall_at_the_threshold():
     """Pairs of similarity just over 0.8 share a band as often as aimed at."""
     bands, rows = nd.choose_bands()
