@@ -3,10 +3,12 @@
 Training counts byte trigrams (lower case, everything but letters turned into a
 space, runs of spaces as one) by language, hashed into a fixed number of cells.
 A text's trigrams are modelled as a mixture of the languages and of noise (all
-cells alike): expectation-maximisation fits the proportions.  The set of
-languages is selected by penalised likelihood among the nested sets of the
-largest proportions, each refitted: log-likelihood less half the logarithm of
-the number of independent trigrams for every language.
+cells alike): expectation-maximisation fits the proportions until the
+log-likelihood settles.  The set of languages is selected by penalised
+likelihood among the nested sets of the largest proportions, each refitted:
+log-likelihood less half the logarithm of the number of independent trigrams
+for every language.  Sets grow up to all languages; a text is done once a bound
+on the likelihood of all languages tells that no larger set can win.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from .common import documents, extended, id_crc, map_arrow, slices
 MODEL_CELLS = 1 << 24
 MOST_BITS = 16
 SMOOTHING = 0.5
-#: Most languages of a selected set, steps of the full fit and of each refit.
-MOST_SELECTED, FIRST_STEPS, REFIT_STEPS = 3, 8, 4
+#: A fit has settled when a step adds no more than this to a text's log-likelihood.
+SETTLED = 1e-3
 #: Neighbouring trigrams share characters: one in three counts as independent.
 SHARED = 3.0
 UNDETERMINED = "und"
@@ -100,15 +102,37 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
     return langs, np.ascontiguousarray(model.T.astype(np.float32)), bits
 
 
-def _fit(p: np.ndarray, n: np.ndarray, doc: np.ndarray, starts: np.ndarray, theta: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions after ``steps`` of expectation-maximisation, and their log-likelihood."""
+def _of(texts: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of some of the texts, each one's number among these, and where theirs start."""
+    n = np.diff(np.append(starts, size))[texts]
+    new = np.cumsum(n) - n
+    doc = np.repeat(np.arange(len(texts)), n)
+    return np.arange(len(doc)) + (starts[texts] - new)[doc], doc, new
+
+
+def _fit(p: np.ndarray, n: np.ndarray, doc: np.ndarray, starts: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions by expectation-maximisation until each text's log-likelihood settles, and this.
+
+    A text stops on its own, so its result doesn't depend on those beside it.
+    As a likelihood is bounded and each step but the last adds ``SETTLED``, all stop.
+    """
+    theta, fit = theta.copy(), np.full(len(starts), -np.inf)
     total = np.add.reduceat(n, starts).astype(np.float32)[:, None]
-    for _ in range(steps):
-        share = p * theta[doc]
-        share *= (n / share.sum(1))[:, None]
-        theta = np.add.reduceat(share, starts, axis=0) / total
-    mixed = np.einsum("ij,ij->i", p, theta[doc])
-    return theta, np.add.reduceat(np.log(mixed) * n, starts, dtype=np.float64)
+    live, moving = np.arange(len(starts)), np.ones(len(starts), bool)
+    while moving.any():
+        if moving.sum() * 2 <= len(moving):
+            at, doc, starts = _of(np.flatnonzero(moving), starts, len(p))
+            p, n, total, live = p[at], n[at], total[moving], live[moving]
+            moving = moving[moving]
+        share = p * theta[live][doc]
+        mixed = share.sum(1)
+        now = np.add.reduceat(np.log(mixed) * n, starts, dtype=np.float64)
+        moving &= now - fit[live] > SETTLED
+        on = live[moving]
+        fit[on] = now[moving]
+        share *= (n / mixed)[:, None]
+        theta[on] = (np.add.reduceat(share, starts, axis=0) / total)[moving]
+    return theta, fit
 
 
 def infer(texts: pa.Array, model: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,25 +151,33 @@ def infer(texts: pa.Array, model: np.ndarray, bits: int) -> tuple[np.ndarray, np
     flat = np.full((len(cell), 1), 1.0 / (1 << bits), np.float32)
     p = np.concatenate((model[cell], flat), 1)
     first = np.full((len(present), n_langs + 1), 1.0 / (n_langs + 1), np.float32)
-    theta, _ = _fit(p, n, d, starts, first, FIRST_STEPS)
+    theta, most = _fit(p, n, d, starts, first)
+    # No proportions reach a likelihood beyond this: it is concave, and its steepest slope bounds what is left to gain.
+    slope = np.add.reduceat(p * (n / np.einsum("ij,ij->i", p, theta[d]))[:, None], starts, axis=0, dtype=np.float64).max(1)
+    most += np.maximum(slope - np.add.reduceat(n, starts), 0)
     order = np.argsort(-theta[:, :-1], 1, kind="stable")
     penalty = 0.5 * np.log(np.maximum(np.add.reduceat(n, starts) / SHARED, 2.0))
     best = np.full(len(present), -np.inf)
     chosen = np.zeros_like(theta)
-    rows = np.arange(len(present))[:, None]
-    for k in range(1, min(MOST_SELECTED, n_langs) + 1):
-        pick = order[:, :k]
-        q = np.concatenate((np.take_along_axis(p, pick[d], 1), flat), 1)
-        t = np.concatenate((theta[rows, pick], theta[:, -1:]), 1) + np.float32(1e-4)
+    left = np.arange(len(present))
+    for k in range(1, n_langs + 1):
+        # This set and all larger ones are at most as likely as all languages.
+        left = left[most[left] / SHARED - k * penalty[left] > best[left]]
+        if not len(left):
+            break
+        at, e, new = _of(left, starts, len(p))
+        pick = order[left, :k]
+        q = np.concatenate((p[at[:, None], pick[e]], flat[at]), 1)
+        t = np.concatenate((theta[left[:, None], pick], theta[left, -1:]), 1) + np.float32(1e-4)
         t /= t.sum(1, keepdims=True)
-        t, fit = _fit(q, n, d, starts, t, REFIT_STEPS)
-        fit = fit / SHARED - k * penalty
-        better = fit > best
-        best = np.where(better, fit, best)
-        full = np.zeros_like(theta)
-        full[rows, pick] = t[:, :-1]
-        full[:, -1] = t[:, -1]
-        chosen[better] = full[better]
+        t, fit = _fit(q, n[at], e, new, t)
+        fit = fit / SHARED - k * penalty[left]
+        better = fit > best[left]
+        on = left[better]
+        best[on] = fit[better]
+        chosen[on] = 0
+        chosen[on[:, None], pick[better]] = t[better, :-1]
+        chosen[on, -1] = t[better, -1]
     out[present], noise[present] = chosen[:, :-1], chosen[:, -1]
     return out, noise
 
