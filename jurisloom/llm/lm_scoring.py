@@ -15,7 +15,8 @@ The trie is cut by the last two bytes of its contexts into shards of about
 ``SHARD_GRAMS`` (one pair's can't exceed 256 * 257**2 by construction); shorter
 contexts are bounded too and part of every shard.  A scoring pass broadcasts
 one shard and adds up the positions that belong to it, so a trie of any size is
-used whole, by as many passes as it has shards.
+used whole, by as many passes as it has shards.  Where there are several, rows are
+written once with a number of their own, on which the passes are joined.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -241,8 +241,8 @@ class Trie:
         return out
 
 
-def shards(grams: DataFrame) -> Iterator[tuple[Trie, np.ndarray | None]]:
-    """Tries of all shards, each with the pairs of last bytes it answers for (None: all)."""
+def shards(grams: DataFrame) -> tuple[int, Iterator[tuple[Trie, np.ndarray | None]]]:
+    """Number of shards, and the trie of each with the pairs of last bytes it answers for (None: all)."""
     pair = F.shiftright("gram", BITS).bitwiseAND(F.lit((1 << 2 * BITS) - 1))
     sizes = grams.groupBy(pair.alias("pair")).agg(F.count("*").alias("n")).toPandas().sort_values("pair")
     low = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("gram")).agg(F.sum("c").alias("c")).toPandas().sort_values("gram")
@@ -254,21 +254,25 @@ def shards(grams: DataFrame) -> Iterator[tuple[Trie, np.ndarray | None]]:
         filled += n
         shard_of.append(number)
     pairs = sizes["pair"].to_numpy(np.int64)
-    for k in range(number + 1):
-        part = grams
-        mine = None
-        if number:
-            own = pairs[np.array(shard_of) == k]
-            part = grams.filter(pair.between(int(own[0]), int(own[-1])))
-            # Pairs never seen belong to the shard whose range they fall in; the first and last are open.
-            mine = np.zeros(1 << 2 * BITS, bool)
-            low_end = 0 if k == 0 else int(own[0])
-            high_end = (1 << 2 * BITS) if k == number else int(pairs[np.array(shard_of) == k + 1][0])
-            mine[low_end:high_end] = True
-        table = part.toArrow()
-        gram = table["gram"].to_numpy()
-        order = np.argsort(gram)
-        yield Trie(gram[order], table["c"].to_numpy()[order], *low), mine
+
+    def tries() -> Iterator[tuple[Trie, np.ndarray | None]]:
+        for k in range(number + 1):
+            part = grams
+            mine = None
+            if number:
+                own = pairs[np.array(shard_of) == k]
+                part = grams.filter(pair.between(int(own[0]), int(own[-1])))
+                # Pairs never seen belong to the shard whose range they fall in; the first and last are open.
+                mine = np.zeros(1 << 2 * BITS, bool)
+                low_end = 0 if k == 0 else int(own[0])
+                high_end = (1 << 2 * BITS) if k == number else int(pairs[np.array(shard_of) == k + 1][0])
+                mine[low_end:high_end] = True
+            table = part.toArrow()
+            gram = table["gram"].to_numpy()
+            order = np.argsort(gram)
+            yield Trie(gram[order], table["c"].to_numpy()[order], *low), mine
+
+    return number + 1, tries()
 
 
 def score(df: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "held_out") -> DataFrame:
@@ -294,14 +298,19 @@ def score(df: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str
     shared_words = spark.sparkContext.broadcast({w: float(np.log10(c + 0.5) - floor_) for w, c in frequent.items()})
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(mark).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    passes, tries = shards(gram)
+    if passes > 1:
+        # Each pass may read in other splits, so a row's place can't tell it apart.
+        rows = materialise(rows, "lm-rows")
+    n_rows = None
     first = True
     scored = None
-    for trie, mine in shards(gram):
+    for trie, mine in tries:
         shared = spark.sparkContext.broadcast((trie, mine))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, base=first) -> Iterator[pa.RecordBatch]:
             (trie, mine), table = shared.value, shared_words.value
-            row = TaskContext.get().partitionId() << 33
             for whole in batches:
                 for batch in slices(whole, "text"):
                     n = batch.num_rows
@@ -328,13 +337,12 @@ def score(df: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str
                     none = [0] * n
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(row + np.arange(n)), batch.column("id"), batch.column("mark"), pa.array(sums),
+                            batch.column("row"), batch.column("id"), batch.column("mark"), pa.array(sums),
                             pa.array(tokens if base else none, pa.int64()), pa.array(known if base else none, pa.int64()), pa.array(base_sum if base else none, pa.float64()),
                             pa.array(rare if base else [[]] * n, pa.list_(pa.binary())), pa.array(rare_n if base else [[]] * n, pa.list_(pa.int64())),
                         ],
                         names=["row", "id", "mark", "score", "n_tokens", "n_known", "base", "rare", "rare_n"],
                     )
-                    row += n
 
         kind = rows.schema["mark"].dataType.simpleString()
         part = map_arrow(
@@ -344,8 +352,11 @@ def score(df: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str
         if scored is None:
             scored = part
         else:
+            n_rows = scored.count() if n_rows is None else n_rows
             more = part.select("row", F.col("score").alias("more"))
             scored = materialise(scored.join(more, "row").withColumn("score", F.col("score") + F.col("more")).drop("more"), "lm-scored")
+            if not n_rows == part.count() == scored.count():
+                raise RuntimeError(f"passes over {n_rows} rows scored {part.count()} and joined {scored.count()}")
         first = False
 
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.rare_n").alias("n"))

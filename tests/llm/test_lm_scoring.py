@@ -71,6 +71,33 @@ def test_against_brute_force(spark, monkeypatch, sizes):
         assert abs(r["score"] - want) < 1e-3 * max(1, abs(want)), (t, r["score"], want)
 
 
+def test_passes_in_other_splits(spark, monkeypatch, tmp_path):
+    """Passes that read the input in different splits add up scores of the same rows."""
+    texts = [f"{t or ''} {k}" for k, t in enumerate(TEXTS)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", F.lit(True))
+    df.repartition(12).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    whole = {r["doc_id"]: r["score"] for r in lm.score(df, df).collect()}
+    write, sizes = lm.materialise, ["128m", "1k", "16k"]
+
+    def other_splits(*args):
+        out = write(*args)
+        sizes.append(sizes.pop(0))
+        for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.set(key, sizes[0])
+        return out
+
+    monkeypatch.setattr(lm, "SHARD_GRAMS", 40)
+    monkeypatch.setattr(lm, "materialise", other_splits)
+    try:
+        got = [(r["doc_id"], r["score"]) for r in lm.score(df, df).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(k for k, _ in got) == sorted(whole)
+    assert all(abs(x - whole[k]) < 1e-3 for k, x in got)
+
+
 def test_probabilities_sum_to_one():
     key, _ = lm.symbols(pa.array(TEXTS))
     gram, c = lm._merged([(key, np.ones(len(key), np.int64))])
