@@ -3,8 +3,9 @@
 A record travels as rows ``(record, chunk number, bytes)``: payloads are cut by
 the engine's own functions before they reach a writer, the writer streams
 chunks into a gzip member for each record, and the reader gives chunk rows
-back, each with the digest of all bytes up to it.  Neither ever holds a whole
-payload; the reader holds one chunk.
+back, each with the digest of all bytes up to it.  Writer and reader hold one
+chunk.  Before that a payload is whole: it comes as one value of an input row,
+is hashed as such, and moves as such where repeats are too many to broadcast.
 """
 
 from __future__ import annotations
