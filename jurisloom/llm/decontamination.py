@@ -8,7 +8,8 @@ threshold's share is contained shares a bin's minimum with the document except
 with probability ``MISS``: short items in long documents get many bins.  Where
 nearly every shingle would have to be kept, all are.  A shared minimum makes a
 candidate, which is verified exactly: the item's shingles are looked up in the
-document's whole set and compared as words.
+document's whole set and compared as words.  Items of fewer words than a
+shingle has are looked up among all runs of as many words.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_arrow, slices
-from .shingles import SHINGLE, U, shingles_of, words, written_shingles
+from .shingles import SHINGLE, U, runs, shingles_of, words, written_shingles
 
 THRESHOLD = 0.8
 MISS = 1e-6
@@ -60,6 +61,7 @@ class Index:
         self.items, self.threshold = items, threshold
         texts = pa.array([t for _, t in items], pa.string())
         doc, h, *_ = words(texts)
+        n_words = np.bincount(doc, minlength=len(items))
         doc, h = shingles_of(doc, h)
         cuts = np.searchsorted(doc, np.arange(len(items) + 1))
         self.hashes = [np.unique(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -74,6 +76,10 @@ class Index:
             table[flat & U((1 << FILTER_BITS) - 1)] = True
             self.classes.append((load_for(kept_share(2 ** int(k), threshold)), flat[order], owner[order], table))
         self.written = {}
+        #: Items of fewer words than a shingle has, by number of words and hash.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i in np.flatnonzero((n_words > 0) & (n_words < SHINGLE)).tolist():
+            self.short.setdefault(int(n_words[i]), {}).setdefault(int(self.hashes[i][0]), []).append(i)
 
     def item(self, i: int) -> set[tuple[str, ...]]:
         if i not in self.written:
@@ -104,13 +110,29 @@ class Index:
                 found.append(np.repeat(doc[hit], n) * len(self.items) + owner[at])
         return np.unique(np.concatenate(found))
 
-    def search(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
+    def inside(self, w_doc: np.ndarray, w_hash: np.ndarray, w_start: np.ndarray, w_end: np.ndarray, data: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Short items within documents of more words, like ``search``."""
+        out, count = [], np.bincount(w_doc)
+        for n, owners in self.short.items():
+            h = runs(w_hash, n)
+            doc = w_doc[: len(h)]
+            at = np.flatnonzero((doc == w_doc[n - 1 :]) & (count[doc] > n) & np.isin(h, np.array(list(owners), U)))
+            order = at[np.lexsort((h[at], doc[at]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (doc[order[1:]] != doc[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
+            for p in order[new].tolist():
+                said = tuple(data[w_start[x] : w_end[x]].tobytes().decode() for x in range(p, p + n))
+                out += [(int(doc[p]), i, 1, 1) for i in owners[int(h[p])] if said in self.item(i)]
+        return out
+
+    def search(self, texts: pa.Array, short_inside: bool = False) -> list[tuple[int, int, int, int]]:
         """``document, item, contained shingles, item's shingles`` of verified pairs."""
         w_doc, w_hash, w_start, w_end, data = words(texts)
         doc, h = shingles_of(w_doc, w_hash)
         if not len(doc):
             return []
-        out, cuts, first_word = [], np.searchsorted(doc, np.arange(len(texts) + 1)), np.searchsorted(w_doc, np.arange(len(texts) + 1))
+        out = self.inside(w_doc, w_hash, w_start, w_end, data) if short_inside and self.short else []
+        cuts, first_word = np.searchsorted(doc, np.arange(len(texts) + 1)), np.searchsorted(w_doc, np.arange(len(texts) + 1))
         for pair in self.candidates(doc, h, len(texts)).tolist():
             d, i = divmod(pair, len(self.items))
             own = h[cuts[d] : cuts[d + 1]]
@@ -148,12 +170,12 @@ HITS = "item_id long, doc_id long, contained long, item_shingles long"
 
 def containment_hits(
     df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    threshold: float = THRESHOLD,
+    threshold: float = THRESHOLD, short_inside: bool = False,
 ) -> DataFrame:
     """``item_id, doc_id, contained, item_shingles, containment`` of every pair at the threshold.
 
     An item of one to four words is found only in documents of just these
-    words.  Null and empty texts on either side match nothing; repeated rows
+    words, with ``short_inside`` wherever they stand in a row.  Null and empty texts on either side match nothing; repeated rows
     give a row each.  Narrow over the documents; items are broadcast in blocks
     of bounded size, one pass over the documents for each.
     """
@@ -167,7 +189,7 @@ def containment_hits(
             ids = [i for i, _ in shared.value.items]
             for whole in batches:
                 for batch in slices(whole, "text"):
-                    hits = shared.value.search(batch.column("text"))
+                    hits = shared.value.search(batch.column("text"), short_inside)
                     doc_id = batch.column("doc_id").to_pylist() if hits else []
                     yield pa.RecordBatch.from_pydict(
                         {
@@ -183,8 +205,8 @@ def containment_hits(
     return out.withColumn("containment", F.col("contained") / F.col("item_shingles"))
 
 
-def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``df`` without the rows that contain an item; rows and columns stay as they are.  Narrow."""
+def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, short_inside: bool = False) -> DataFrame:
+    """``df`` without the rows that contain an item (see ``containment_hits``); rows and columns stay as they are.  Narrow."""
     spark = df.sparkSession
     for index in _blocks(items, item_col, item_text_col, threshold):
         shared = spark.sparkContext.broadcast(index)
@@ -193,7 +215,7 @@ def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_
             for whole in batches:
                 for batch in slices(whole, text_col):
                     stays = np.ones(batch.num_rows, bool)
-                    stays[[d for d, *_ in shared.value.search(batch.column(text_col))]] = False
+                    stays[[d for d, *_ in shared.value.search(batch.column(text_col), short_inside)]] = False
                     yield batch.filter(pa.array(stays))
 
         df = map_arrow(df, run, df.schema)
@@ -202,4 +224,4 @@ def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return containment_hits(documents(spark, sf_dir, "doc_id", "text"), items)
+    return containment_hits(documents(spark, sf_dir, "doc_id", "text"), items, short_inside=True)

@@ -121,6 +121,14 @@ def shingles_of(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return doc, h
 
 
+def runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every ``n`` words in a row, each as of a text of just these words; ``n`` is below ``SHINGLE``."""
+    total = np.full(max(0, len(h) - n + 1), _PLACE[SHINGLE] * U(n))
+    for k in range(n):
+        total += h[k : len(total) + k] * _PLACE[k]
+    return mix(total)
+
+
 def sets(texts: pa.Array) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every text."""
     doc, h = shingles(texts)

@@ -66,3 +66,25 @@ def test_decontaminate_keeps_the_rest(spark):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(d) for d, _ in docs if str(d) not in bad)
     assert dc.decontaminate(df, spark.createDataFrame([], "item_id long, text string")).count() == len(docs)
     assert dc.containment_hits(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_short_items_inside_documents(spark, tmp_path):
+    """Items of one to four words are found wherever their words stand in a row, by the query and the pipeline's stage."""
+    import corpus_pipeline
+
+    docs, items = case()
+    text = [(i, [w for s in sorted(written_shingles(t)) for w in s]) for i, t in items]
+    short = [(i, f" {' '.join(w)} ") for i, w in text if 0 < len(w) < 5]
+    want = brute(docs, items)
+    for d, t in docs:
+        flat = f" {t or ''} "
+        want += [(i, d, 1, 1) for i, x in short if x in flat and flat != x]
+    assert len(want) > len(brute(docs, items))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = dc.op4_decontamination(spark, str(tmp_path)).collect()
+    assert sorted(((r["item_id"], r["doc_id"], r["contained"], r["item_shingles"]) for r in got), key=str) == sorted(want, key=str)
+    bad = {str(d) for _, d, *_ in want}
+    left = corpus_pipeline.drop_benchmark_text(spark, df, str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in left) == sorted(str(d) for d, _ in docs if str(d) not in bad)
