@@ -144,7 +144,7 @@ SENTENCES = r"""
 85 | mit | noninfringement | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
 95 | isc | permission to use copy modify | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 80 | bsd | redistribution and use in source | redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
-90 | bsd-3-clause | endorse or promote | neither the name of (?:\w+ ){1,12}?nor the names of its contributors may be used to endorse or promote products derived from this software
+90 | bsd-3-clause | endorse or promote | neither the name of (?:(?!nor the names of its contributors |neither the name of )[^ ]+ )++nor the names of its contributors may be used to endorse or promote products derived from this software
 92 | bsd-4-clause | advertising materials | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
 80 | bsd | redistributions of source code | redistributions of source code must retain the above copyright notice
 80 | bsd | redistributions in binary form | redistributions in binary form must reproduce the above copyright notice
@@ -152,8 +152,8 @@ SENTENCES = r"""
 90 | apache-2.0 | except in compliance with the license | you may not use this file except in compliance with the license
 90 | apache-2.0 | apache org | (?:https? )?(?:www )?apache org licenses license 2 0(?: txt| html)?
 90 | apache-1.1 | apache org | (?:https? )?(?:www )?apache org licenses license 1 1(?: txt| html)?
-95 | gpl-2.0 | as published by the free software | redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or (?:\w+ ){0,4}any later version
-95 | gpl-3.0 | as published by the free software | redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or (?:\w+ ){0,4}any later version
+95 | gpl-2.0 | as published by the free software | redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or (?:[^ ]+ ){0,4}any later version
+95 | gpl-3.0 | as published by the free software | redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or (?:[^ ]+ ){0,4}any later version
 95 | lgpl-2.1 | as published by the free software | under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license
 95 | lgpl-3.0 | as published by the free software | under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license
 95 | agpl-3.0 | as published by the free software | under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license
@@ -208,7 +208,7 @@ SENTENCES = r"""
 50 | proprietary | all rights reserved | all rights reserved
 65 | proprietary | proprietary and confidential | (?:this (?:file|software|document|source code) is )?proprietary and confidential
 65 | proprietary | unauthorized copying | unauthorized copying (?:of this file|via any medium|or distribution)(?: via any medium)?
-65 | proprietary | may not be reproduced | may not be reproduced(?: \w+){0,12} without (?:the )?(?:prior |express )?(?:written )?(?:permission|consent)
+65 | proprietary | may not be reproduced | may not be reproduced(?: [^ ]+){0,12} without (?:the )?(?:prior |express )?(?:written )?(?:permission|consent)
 60 | proprietary | end user license | end user licen[sc]e agreement
 60 | proprietary | trade secret | (?:contains|constitutes?) (?:confidential information and )?trade secrets?
 55 | non-commercial | non commercial | (?:for )?non commercial (?:use|purposes?) only

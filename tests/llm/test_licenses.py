@@ -57,6 +57,21 @@ def test_scan_against_brute_force():
         assert sorted((a, k) for a, _, k in spans) == naive(text), text
 
 
+def test_gaps_of_any_words():
+    """Names of holders beyond ASCII or of many words, and other gaps with such words."""
+    s = lc.scanner()
+    bsd = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software"
+    gpl = "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (à votre choix) any later version"
+    cases = [(bsd.format(x), "bsd-3-clause") for x in ("ACME", "Universität Zürich", "the " + "Regents and Friends of the University " * 12, "A nor the names of B")]
+    cases += [(gpl.format(2), "gpl-2.0"), (gpl.format(3), "gpl-3.0"), ("may not be reproduced, même partiellement, without permission", "proprietary")]
+    for text, label in cases:
+        _, spans = s.scan(text)
+        assert any(s.rules[k].label == label and (a, b) in ((0, len(text.encode().translate(lc.TABLE).split())), (0, text.count(" ") + 1)) for a, b, k in spans), text
+    twice = bsd.format("Ä") + ". " + bsd.format("Ö")
+    assert sum(s.rules[k].label == "bsd-3-clause" for *_, k in s.scan(twice)[1]) == 2
+    assert not any(s.rules[k].label == "bsd-3-clause" for *_, k in s.scan("neither the name of " + "x " * 50_000 + "endorse or promote")[1])
+
+
 def test_query(spark, tmp_path):
     rows = [(k, t, "x") for k, t in enumerate(TEXTS)] + [(None, "mit license", "y"), (3, "mit license", "x")]
     spark.createDataFrame(rows, "doc_id long, text string, n_words string").write.parquet(f"{tmp_path}/documents.parquet")
