@@ -28,12 +28,11 @@ however long it is.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, text_or_empty
+from .ranges import bounds_of, bucket_of
 
 SAMPLES = 128
 SHINGLE = 5
@@ -41,8 +40,8 @@ SHINGLE = 5
 REACH = 12.0
 #: Samples that one hash decides on, by this many bits each.
 CHUNKS, CHUNK = 4, 1 << 16
-#: Text of a bucket of neighbouring documents, about, and the most buckets.
-BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 65_536
+#: Text of a bucket of neighbouring documents, about.
+BUCKET_BYTES = 8 << 20
 
 
 def terms(df: DataFrame, text_col: str) -> DataFrame:
@@ -155,34 +154,6 @@ def fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fingerpri
     return out.select("row.row.*", written(F.col("sigs")).alias(out_col))
 
 
-def bounds_of(df: DataFrame, id_col: str, bucket_bytes: int = BUCKET_BYTES) -> tuple[list[int], int | None]:
-    """Ids that end buckets of neighbouring documents, and the largest id."""
-    n, total, top = df.agg(F.count("*"), F.sum(F.octet_length("text")), F.max(id_col)).head()
-    by_size, cores = math.ceil((total or 0) / bucket_bytes), df.sparkSession.sparkContext.defaultParallelism
-    # Small tables still use the cores there are, in buckets of at least 1 MB.
-    spread = min(2 * cores, math.ceil((total or 0) / min(1 << 20, bucket_bytes)))
-    buckets = max(1, min(MOST_BUCKETS, max(by_size, spread), n))
-    if buckets == 1 or top is None:
-        return [], top
-    shares = [k / buckets for k in range(1, buckets)]
-    found = df.agg(F.percentile_approx(id_col, shares, max(10_000, 20 * buckets))).head()[0]
-    return sorted({x for x in found if x < top}), top
-
-
-def bucket_of(doc_id: Column, bounds: list[int]) -> Column:
-    """Number of bounds below the id, by bisection; null ids go with the smallest."""
-    if not bounds:
-        return F.lit(0)
-    table = F.lit(bounds).cast("array<bigint>")
-    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-
-    def step(at: Column, s: Column) -> Column:
-        further = (at + s <= len(bounds)) & (F.element_at(table, F.least(at + s, F.lit(len(bounds)))) < doc_id)
-        return F.when(further, at + s).otherwise(at)
-
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
-
-
 def with_edits(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``id, text`` rows with ``n`` (place in the bucket), ``edited`` and their bucket.
 

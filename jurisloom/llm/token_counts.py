@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, extended, map_arrow, slices, text_or_empty
-from .encoding import CHUNK_CHARS, encode_long, text_encoder
+from .encoding import CHUNK_CHARS, SLICE_BYTES, encode_long, text_encoder
 
 
 def count_tokens(
@@ -34,20 +35,15 @@ def count_tokens(
         encode = text_encoder(path)
         code = encode.code
         for whole in batches:
-            for batch in slices(whole, text_col):
-                texts = batch.column(text_col).to_pylist()
-                counts = np.zeros(len(texts), np.int64)
-                for i, t in enumerate(texts):
-                    if not t:
-                        continue
-                    if len(t) > chunk and code.resynchronises:
-                        counts[i] = sum(map(len, encode_long(t, code, chunk)))
-                    else:
-                        counts[i] = len(encode.encode(t))
+            for batch in slices(whole, text_col, SLICE_BYTES):
+                texts = batch.column(text_col)
+                huge = pc.fill_null(pc.greater(pc.utf8_length(texts), chunk), False).to_numpy(zero_copy_only=False) & code.resynchronises
+                counts = encode.counts(pc.if_else(pa.array(huge), "", texts) if huge.any() else texts)
+                for k in np.flatnonzero(huge).tolist():
+                    counts[k] = sum(map(len, encode_long(texts[k].as_py(), code, chunk)))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(counts)], names=[*batch.schema.names, out_col]
                 )
-        encode.forget()
 
     return map_arrow(keep, run, schema)
 

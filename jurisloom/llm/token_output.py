@@ -14,7 +14,7 @@ A shard file holds, one after another:
 
 A reader seeks to any block by its offset and unpacks it with numpy alone.
 Shard numbers follow the order of document ids, so shard ``k`` continues where
-``k - 1`` ended.
+``k - 1`` ended (numbers of empty ranges are left out).
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, map_arrow, materialise, scratch_path, slices, text_or_empty
-from .encoding import text_encoder
+from .encoding import SLICE_BYTES, coder, text_encoder
 from .files import read_file, whole_file
+from .ranges import bounds_of, bucket_of
 
 MAGIC = b"JLTOKEN1"
 BLOCK_IDS = 65_536
+#: Text of a shard, about.
+SHARD_BYTES = 16 << 20
 #: Ids that one read task takes, about.
 READ_IDS = 4_000_000
 
@@ -44,6 +48,11 @@ def bits_for(vocab_size: int) -> int:
     return max(1, (vocab_size - 1).bit_length())
 
 
+def width_of(vocab_size: int) -> str:
+    """The numpy type that ids travel in."""
+    return "<u2" if vocab_size <= 1 << 16 else "<u4"
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids side by side in ``bits`` bits each, low bits first."""
     if bits in (8, 16, 32):
@@ -144,47 +153,59 @@ class ShardReader:
         self.f.close()
 
 
+def encoded(df: DataFrame, path: str, end_id: int | None = 0) -> DataFrame:
+    """``bucket, id, ids`` of ``bucket, id, text`` rows: ids as little-endian numbers of 2 or 4 bytes.  Narrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = text_encoder(path)
+        kind = width_of(encode.code.vocab_size)
+        end = np.array([] if end_id is None else [end_id], kind).tobytes()
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE_BYTES):
+                ids = [x.astype(kind).tobytes() + end for x in encode.encode_many(batch.column("text"))]
+                yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("id"), pa.array(ids, pa.binary())], names=["bucket", "id", "ids"])
+
+    return map_arrow(df, run, "bucket int, id long, ids binary")
+
+
 def write_shards(
     df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0,
-    directory: str | None = None,
+    directory: str | None = None, shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
-    """Encode ``df`` into shards in ascending id order (null ids first, equal ids by text).
+    """Encode ``df`` into shards in ascending id order (null ids first, equal ids by their tokens).
 
     Returns a row per shard: ``shard, file, n_docs, n_ids, start`` (ids of all
-    shards before it).  Null texts are empty ones; an empty table gives no
-    shard.  One shuffle, by ranges of the id; tasks stream through their rows.
+    shards before it).  Ids must be whole numbers or cast to such.  Null texts
+    are empty ones, repeated rows are all written, other columns are left out;
+    an empty table gives no shard.  Texts are encoded where they are read; one
+    shuffle moves their ids, by ranges of the document id, and tasks stream
+    through their rows.
     """
     spark = df.sparkSession
     directory = directory or scratch_path(spark, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, number = text_encoder(path), TaskContext.get().partitionId()
-        name = f"shard-{number:08d}.tok"
-        end = np.array([] if end_id is None else [end_id], np.uint32)
+        vocab_size, number = coder(path).vocab_size, TaskContext.get().partitionId()
+        kind, name = width_of(vocab_size), f"shard-{number:08d}.tok"
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
         with whole_file(directory, name) as out:
-            w = ShardWriter(out, bits_for(encode.code.vocab_size))
-
-            def add(whole: pa.RecordBatch) -> None:
-                for batch in slices(whole, "text"):
-                    for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                        w.add(doc_id, np.concatenate((encode.encode(text), end)))
-
-            add(first)
-            for batch in batches:
-                add(batch)
+            w = ShardWriter(out, bits_for(vocab_size))
+            for batch in chain([first], batches):
+                for doc_id, ids in zip(batch.column("id").to_pylist(), batch.column("ids"), strict=True):
+                    w.add(doc_id, np.frombuffer(ids.as_buffer(), kind))
             w.close()
-        encode.forget()
         yield pa.RecordBatch.from_pydict(
             {"shard": [number], "file": [f"{directory}/{name}"], "n_docs": [len(w.doc_ids)], "n_ids": [w.n_ids]}
         )
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    shards = materialise(map_arrow(rows, run, "shard long, file string, n_docs long, n_ids long"), "shards")
-    # A row per shard: few, whatever the size of the corpus.
+    bounds, _ = bounds_of(rows, "id", shard_bytes)
+    rows = encoded(rows.select(bucket_of(F.col("id"), bounds).alias("bucket"), "id", "text"), path, end_id)
+    rows = rows.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("id", "ids").select("id", "ids")
+    # A row per shard: few, whatever the size of the corpus, so they go to one file.
+    shards = materialise(map_arrow(rows, run, "shard long, file string, n_docs long, n_ids long").repartition(1), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
@@ -192,6 +213,8 @@ def write_shards(
 def read_shards(shards: DataFrame) -> DataFrame:
     """Documents of the shards: ``doc_id, start, n_tokens, ids_crc32`` from the files' own bytes.
 
+    No shard gives no row; null ids come back as null.
+
     Read tasks get about ``READ_IDS`` ids each, by the shards' document tables,
     so one large shard is read by many tasks.  A document longer than that is
     still streamed, block by block.
@@ -239,11 +262,12 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
 
 def token_output(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
-    """Write ``df`` as shards, then give what the files hold for each document."""
+    """Write ``df`` as shards, then give what the files hold for each document; edges as of the two."""
     return read_shards(write_shards(df, path, id_col, text_col, end_id))
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token shards, read back."""
     import public_tokenizers
 
     return token_output(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,6 +32,58 @@ def test_chunks_and_pieces_of_any_text(text):
     assert en.text_encoder(PATH).encode(text).tolist() == whole(text)
 
 
+def library(texts):
+    return en.coder(PATH).encode_many(texts)
+
+
+def test_every_character_below_the_limit_against_the_library():
+    """Each one alone, doubled, between letters, numbers, marks, spaces and the ends of texts."""
+    texts = []
+    for c in map(chr, range(en.LATIN_END + 40)):
+        texts += [c, c + c, f"a{c}b", f"a {c}b", f"1{c}2 {c}3", f"!{c}? {c}!", f"  {c} {c}{c} x", f"\n{c}\t{c}", f"'{c}'s{c}'ll", f"x{c} ", f"{c}  y"]
+    got = en.text_encoder(PATH).encode_many(pa.array(texts))
+    assert [x.tolist() for x in got] == library(texts)
+    assert en.text_encoder(PATH).counts(pa.array(texts)).tolist() == [len(x) for x in got]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abstrvelmd1' \n\t.\x85\xa0\x1cé²ªß\u024f", max_size=30) | st.none(), max_size=12))
+def test_many_texts_at_once(texts):
+    got = en.text_encoder(PATH).encode_many(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in got] == library([t or "" for t in texts])
+
+
+def test_generations_of_pre_tokens(monkeypatch):
+    monkeypatch.setattr(en, "CACHED_PIECES", 7)
+    encode = en.TextEncoder(en.coder(PATH))
+    texts = [" ".join(f"w{k * m % 31}" for k in range(60)) for m in range(9)]
+    for _ in range(2):
+        assert [x.tolist() for x in encode.encode_many(pa.array(texts))] == library(texts)
+    assert len(encode.words) <= 7
+
+
+def test_tables_of_huge_and_of_other_scripts(spark):
+    """Whole tables in which every text is over the chunk, or in another script, of the real sizes."""
+    texts = ["Words and more words, 12 of them; don't stop. " * 900, "слова и ещё слова 日本語のテキスト " * 1500, "x" * 70_000, " \n" * 30_000, "naïve café " * 4000 + "終"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [len(x) for x in library(texts)]
+    assert [r[0] for r in tc.count_tokens(df, PATH).orderBy("doc_id").select("n_tokens").collect()] == want
+    got = sorted(to.token_output(df, PATH).collect())
+    assert [r["n_tokens"] - 1 for r in got] == want
+    assert [r["ids_crc32"] for r in got] == [zlib.crc32(np.array([*x, 0], "<u4").tobytes()) for x in library(texts)]
+
+
+def test_shards_follow_ranges_of_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    shards = to.write_shards(docs, PATH, shard_bytes=20_000).orderBy("shard").collect()
+    assert len(shards) > 5
+    start, before = 0, -1
+    for s in shards:
+        r = to.ShardReader(s["file"])
+        assert s["start"] == start and (np.diff(r.doc_ids) >= 0).all() and r.doc_ids[0] > before
+        start, before = start + s["n_ids"], r.doc_ids[-1]
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 15, 16, 17, 31, 32])
 def test_pack_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1001).astype(np.uint32)
@@ -45,7 +98,7 @@ def test_queries_match_the_library(spark, tmp_path):
     assert sorted((r[0] or -1, r[1] or "", r[2]) for r in got) == sorted((i or -1, t or "", len(whole(t or ""))) for i, t in rows)
     got = to.token_output(df, PATH).collect()
     want, start = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, np.array([*whole(r[1] or ""), 0], "<u2").tobytes())):
         ids = np.array([*whole(t or ""), 0], "<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
