@@ -34,17 +34,50 @@ def test_sources_come_near_their_targets(spark):
     assert sorted(map(str, mixed.collect())) == sorted(map(str, mx.mix(frame(spark)).collect()))
 
 
-def test_inclusion_is_random_but_proportional(spark):
-    """Over many seeds a document is taken as often as its target over its source's size."""
-    df = spark.createDataFrame([(k, "w " * 10, "a" if k < 40 else "b") for k in range(120)], "doc_id long, text string, source string")
-    seen = {}
-    for seed in range(8):
-        for r in mx.mix(df, seed=f"t{seed}").groupBy("doc_id").count().collect():
-            seen[r[0]] = seen.get(r[0], 0) + r[1]
-    a = [seen.get(k, 0) / 8 for k in range(40)]
-    assert abs(sum(a) / 40 - 1.0) < 0.05  # a third of 1200 words over 400
-    b = [seen.get(k, 0) / 8 for k in range(40, 120)]
-    assert abs(sum(b) / 80 - 1.0) < 0.05
+def replicas(spark, sources=240):
+    """The same 60 sizes in every source, under ids of its own: each source is one draw of the sample."""
+    sizes = [2 + 7 * k if k < 40 else 400 + 90 * (k - 40) for k in range(60)]
+    rows = [(f"s{s:04d}", s * 1000 + k, size) for s in range(sources) for k, size in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "source string, id long, size long").withColumn("u", mx.uniform(F.col("id"), "t"))
+    return df.cache(), sizes
+
+
+def test_inclusion_frequencies_follow_unequal_probabilities(spark):
+    df, sizes = replicas(spark)
+    got = mx.apply_decisions(df, mx.decide(df)).select("source", (F.col("id") % 1000).alias("k"), "size", "p", "whole", "copies", "target").collect()
+    by_target = {}
+    for r in got:
+        by_target.setdefault((r["target"], r["k"]), []).append(r)
+    spread, scores = set(), []
+    for (_, k), rows in by_target.items():
+        assert len(rows) == 80 and len({(r["p"], r["whole"]) for r in rows}) == 1
+        p = rows[0]["p"]
+        spread.add((rows[0]["target"], round(p, 3)))
+        seen = sum(r["copies"] - r["whole"] for r in rows) / 80
+        if p > 0:
+            scores.append((seen - p) / (p * (1 - p) / 80) ** 0.5)
+        else:
+            assert seen == 0
+    # Probabilities differ within a source, and frequencies stray from them as draws do.
+    assert all(len([x for x in spread if x[0] == t]) > 4 for t in {x[0] for x in spread})
+    assert max(map(abs, scores)) < 4.5 and abs(sum(scores)) / len(scores) < 0.35
+    assert sum(x * x for x in scores) / len(scores) < 1.4
+    # The size of a sample is fixed: every source comes within half a document of its target.
+    words = {}
+    for r in got:
+        words[r["source"]] = words.get(r["source"], -r["target"]) + r["copies"] * r["size"]
+    assert max(map(abs, words.values())) <= max(sizes) / 2
+
+
+def test_the_odds_decide(spark, monkeypatch):
+    """Ranked by the random number alone, the mix is another."""
+    df, _ = replicas(spark, 12)
+    run = lambda: sorted(map(tuple, mx.apply_decisions(df, mx.decide(df)).select("id", "copies").collect()))
+    with_odds = run()
+    assert with_odds == run()
+    ranked = mx._ranked
+    monkeypatch.setattr(mx, "_ranked", lambda rows, most: ranked(rows, most).withColumn("q", F.when(F.col("p") > 0, F.col("u"))).withColumn("bin", F.floor(F.col("u") * mx.BINS).cast("int")))
+    assert with_odds != run()
 
 
 def test_empty_table(spark):
