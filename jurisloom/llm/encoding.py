@@ -158,9 +158,9 @@ LATIN_END = 0x250
 
 SPACE, WHITE, LETTER, NUMBER, OTHER = range(5)
 #: Pre-tokens of a generation, two of which a worker remembers, and the bytes of the longest.
-CACHED_PIECES, CACHED_BYTES = 250_000, 48
+CACHED_PIECES, CACHED_BYTES = 120_000, 48
 #: Text that is encoded at once, about.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Texts over this many bytes go to the library in overlapping chunks.
 LONG_TEXT = 4 << 20
 
