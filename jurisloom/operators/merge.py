@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,32 +62,57 @@ def set_null(child: DataFrame, parent: DataFrame, child_key: str, parent_key: st
 
 
 class Snapshots:
-    """A table on plain files: each version is a folder, a pointer names the current one.
+    """A table on plain files: each version is a folder with a number, the highest whole one is the table.
 
-    A version is written whole before the pointer moves, so a run that dies
-    leaves the table as it was.
+    A version counts from the moment its writer has put its success mark there,
+    and no version is touched afterwards, so a run that dies at any point leaves
+    the table as it was.  One writer at a time: a second one that takes the same
+    number fails.  Old versions stay until :meth:`purge`.
     """
 
+    DONE = "_SUCCESS"
+
     def __init__(self, spark: SparkSession, root: str, schema: str) -> None:
         self.spark, self.root, self.schema = spark, root.rstrip("/"), DataType.fromDDL(schema)
 
-    def _pointer(self) -> str | None:
-        try:
-            rows = self.spark.read.text(f"{self.root}/_current").collect()
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return rows[0][0] if rows else None
+    def _files(self) -> tuple[object, object]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def versions(self) -> list[tuple[int, bool]]:
+        """Numbers of all versions in order, and whether each is whole."""
+        store, path = self._files()
+        if not store.exists(path):
+            return []
+        names = [f.getPath() for f in store.listStatus(path)]
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted((int(p.getName()[2:]), store.exists(mark(p, self.DONE))) for p in names if p.getName().startswith("v-"))
+
+    def _folder(self, number: int) -> str:
+        return f"{self.root}/v-{number:012d}"
 
     def read(self) -> DataFrame:
-        at = self._pointer()
-        return self.spark.createDataFrame([], self.schema) if at is None else self.spark.read.schema(self.schema).parquet(f"{self.root}/{at}")
+        whole = [n for n, done in self.versions() if done]
+        return self.spark.read.schema(self.schema).parquet(self._folder(whole[-1])) if whole else self.spark.createDataFrame([], self.schema)
 
     def replace(self, df: DataFrame) -> None:
-        name = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/_current")
+        taken = self.versions()
+        number = taken[-1][0] + 1 if taken else 0
+        df.select(*self.schema.names).write.mode("errorifexists").parquet(self._folder(number))
+        if (number, True) not in self.versions():
+            raise RuntimeError("the writer leaves no success mark; without one a version can't be told from half a one")
 
     def upsert(self, new: DataFrame, keys: list[str], policy: Mapping[str, str | Column] | None = None, default: str = NEW) -> None:
-        self.replace(upsert(self.read(), new.select(*self.read().columns), keys, policy, default))
+        old = self.read()
+        self.replace(upsert(old, new.select(*old.columns), keys, policy, default))
+
+    def append(self, new: DataFrame) -> None:
+        self.replace(self.read().unionByName(new))
+
+    def purge(self, keep: int = 2) -> None:
+        """Delete all but the newest ``keep`` whole versions, and broken ones before them."""
+        store, _ = self._files()
+        whole = [n for n, done in self.versions() if done]
+        for n, _ in self.versions():
+            if len(whole) >= keep and n < whole[-keep]:
+                store.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(n)), True)

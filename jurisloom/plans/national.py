@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import json
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,7 +19,7 @@ from .. import schemas
 from ..functions.ids import NAMESPACE
 from ..functions.text import BLOCK_TAGS, BREAK_TAGS, embedding_document, path_titles
 from ..operators.dedup import last_filled, last_wins
-from ..operators.merge import FILLED, NEW, OLD, Snapshots, keep_if_empty
+from ..operators.merge import FILLED, NEW, OLD, Snapshots, keep_if_empty, object_merge
 from ..sources.archives import read_xml
 
 EXCLUDED_STATES = ("ABROGE",)
@@ -127,7 +128,7 @@ def parse_article(content: bytes, archive: str, path: str, excluded: tuple[str,
         parts = (article_id, str(position), kind, way, fields["cible_source_id"], fields["cible_texte_source_id"], label)
         relations.append(
             {"id": _name("relation", "|".join(x or "" for x in parts)), "version_source_id": article_id, "source_unite_id": unit_id, "type_relation": kind, "sens": way,
-             "date_signature_texte": parse_date(link.get("datesignatexte")), "libelle": label} | fields
+             "date_signature_texte": parse_date(link.get("datesignatexte")), "libelle": label, "metadata": {}} | fields
         )
     return {
         "reject_reason": None,
@@ -142,7 +143,7 @@ def parse_article(content: bytes, archive: str, path: str, excluded: tuple[str,
             "ordre": int(order) if re.fullmatch(r"[+-]?\d{1,9}", order) else None, "chemin": _titles(context),
             "metadata": {
                 "origine": _text(common, "ORIGINE"), "nature": _text(common, "NATURE"), "ancien_id": _text(common, "ANCIEN_ID"), "url": _text(common, "URL"),
-                "type_article": _text(meta, "TYPE"), "version_ids": [(x.get("id") or "").strip() for x in root.findall("VERSIONS/VERSION/LIEN_ART") if (x.get("id") or "").strip()],
+                "type_article": _text(meta, "TYPE"), "version_ids": json.dumps([(x.get("id") or "").strip() for x in root.findall("VERSIONS/VERSION/LIEN_ART") if (x.get("id") or "").strip()]),
             },
         },
         "version": {
@@ -189,12 +190,13 @@ def counters(scanned: DataFrame, articles: DataFrame) -> DataFrame:
 
 
 def merge_policy(table: str) -> tuple[dict, str]:
-    """How a table's columns merge with an earlier import."""
+    """How a table's columns merge with an earlier import; metadata are merged key by key, the later value counts."""
+    metadata = object_merge(F.col("o.metadata"), F.col("n.metadata"))
     return {
-        "texte": ({}, FILLED),
-        "unite": ({"chemin": keep_if_empty("chemin")}, FILLED),
-        "version": ({}, NEW),
-        "relation": ({"type_relation": NEW, "sens": NEW, "libelle": NEW}, OLD),
+        "texte": ({"metadata": metadata}, FILLED),
+        "unite": ({"type": NEW, "chemin": keep_if_empty("chemin"), "metadata": metadata}, FILLED),
+        "version": ({"metadata": metadata}, NEW),
+        "relation": ({"type_relation": NEW, "sens": NEW, "libelle": NEW, "metadata": metadata}, OLD),
     }[table]
 
 

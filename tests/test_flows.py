@@ -2,6 +2,8 @@
 
 import io
 import json
+import os
+import uuid
 import tarfile
 import urllib.error
 from datetime import datetime
@@ -221,6 +223,32 @@ def test_merge_rules(spark, tmp_path):
     assert p.count() == 1 and c.count() == 3
 
 
+@pytest.mark.parametrize("step", ["while writing", "before the mark"])
+def test_a_write_that_dies_leaves_the_old_table(spark, tmp_path, step):
+    s = merge.Snapshots(spark, f"{tmp_path}/t", "id int, name string")
+    s.upsert(spark.createDataFrame([(1, "a")], "id int, name string"), ["id"])
+    if step == "while writing":
+        broken = spark.range(3).select(F.col("id").cast("int"), F.assert_true(F.col("id") < 2, F.lit("dead")).cast("string").alias("name"))
+        with pytest.raises(Exception):
+            s.replace(broken)
+    else:
+        s.replace(spark.createDataFrame([(2, "half")], "id int, name string"))
+        os.remove(f"{tmp_path}/t/v-{1:012d}/_SUCCESS")
+    assert [tuple(r) for r in s.read().collect()] == [(1, "a")]
+    s.upsert(spark.createDataFrame([(3, "c")], "id int, name string"), ["id"])
+    assert sorted(tuple(r) for r in s.read().collect()) == [(1, "a"), (3, "c")]
+    s.append(spark.createDataFrame([(4, "d")], "id int, name string"))
+    s.purge(1)
+    assert len(s.versions()) == 1 and s.read().count() == 3
+
+
+def test_metadata_are_merged(spark):
+    row = lambda **k: spark.createDataFrame([("1", k["title"], k["meta"])], "id string, titre string, metadata map<string,string>")
+    policy, default = national.merge_policy("texte")
+    got = merge.upsert(row(title="a", meta={"x": "1", "y": "2"}), row(title=None, meta={"y": "3", "z": None}), ["id"], policy, default).head()
+    assert got["titre"] == "a" and got["metadata"] == {"x": "1", "y": "3", "z": None}
+
+
 class Encoder:
     def __init__(self, model="m", dimension=2, fail=False):
         self.model, self.dimension, self.fail = model, dimension, fail
@@ -249,6 +277,24 @@ def test_embeddings(spark):
         national.FallbackEncoder([Encoder(fail=True)])(["a"])
 
 
+class Failing:
+    """Makes encoders that give up after ``most`` texts, counting them in a folder."""
+
+    def __init__(self, folder, most):
+        self.folder, self.most = folder, most
+        os.makedirs(folder, exist_ok=True)
+
+    def __call__(self):
+        def encode(texts):
+            for _ in texts:
+                if len(os.listdir(self.folder)) >= self.most:
+                    raise ConnectionError
+                open(f"{self.folder}/{uuid.uuid4().hex}", "w").close()
+            return [[3.0, 4.0]] * len(texts)
+
+        return encode
+
+
 def payload(text, **change):
     from tests.test_functions import payload as base
 
@@ -360,11 +406,22 @@ def uuid_transport():
 def test_builds_end_to_end(spark, tmp_path):
     from jurisloom.plans import flows
 
-    tar_of(tmp_path / "a.tar.gz", {"x/1.xml": article(versions=CHAIN, links=LINK), "x/2.xml": article("LEGIARTI5")})
+    tar_of(tmp_path / "a.tar.gz", {"x/1.xml": article(versions=CHAIN, links=LINK), "x/2.xml": article("LEGIARTI5")} | {f"y/{k}.xml": article(f"LEGIARTI7{k}") for k in range(4)})
     root = str(tmp_path / "fr")
-    assert flows.build_national(spark, str(tmp_path / "a.tar.gz"), root)["imported"] == 2
-    assert flows.table(spark, root, "import_log").read().head()["stats"]["imported"] == 2
-    assert flows.vectorise(spark, root, Encoder, "m", 2) == 2
+    assert flows.build_national(spark, str(tmp_path / "a.tar.gz"), root)["imported"] == 6
+    logged = flows.table(spark, root, "import_log").read().head()
+    assert logged["stats"]["imported"] == 6 and logged["finished_at"] >= logged["started_at"]
+    with pytest.raises(Exception):
+        flows.build_national(spark, str(tmp_path / "none.tar.gz"), root, url="http://x")
+    assert flows.table(spark, root, "import_log").read().filter("finished_at is null").count() == 1
+    corpus = flows.table(spark, root, "corpus").read().collect()
+    assert [(r["code"], r["source_archive"], r["source_url"]) for r in corpus] == [("LEGI", "none.tar.gz", "http://x")] and corpus[0]["id"] == logged["corpus_id"]
+    # A part fails; those before it are saved and not embedded again.
+    with pytest.raises(Exception):
+        flows.vectorise(spark, root, Failing(f"{tmp_path}/embedded", 4), "m", 2, at_once=1)
+    saved = flows._saved_parts(spark, merge.Snapshots(spark, f"{root}/_embedded", national.schemas.EMBEDDINGS)).count()
+    assert 0 < saved < 6 and flows.vectorise(spark, root, Encoder, "m", 2, at_once=2) == 6 - saved
+    assert flows.table(spark, root, "version_embedding").read().count() == 6
     assert flows.vectorise(spark, root, Encoder, "m", 2) == 0
     with pytest.raises(ValueError):
         flows.vectorise(spark, root, Encoder, "m", 3)
@@ -376,3 +433,8 @@ def test_builds_end_to_end(spark, tmp_path):
     triples = spark.createDataFrame([("w1", same, measures.CELEX_URI + "32000L0060"), ("n1", same, measures.CELEX_URI + "72000L0060FRA_1"), ("n1", rel, "w1")], "s string, p string, o string")
     got = flows.build_measures(spark, out["identity"], triples, str(tmp_path / "nim"))
     assert got["bindings"].head()["nim_work"] == "n1"
+    # A second archive adds its act and leaves the first one's.
+    (tmp_path / "eu2.zip").write_bytes(archives.zip_of({"w/a.doc.xml": b'<DOC CELEX="32001L0001"/>', "w/act.fmx.xml": ACT}))
+    second = lambda: lambda keys: {k: ["http://publications.europa.eu/resource/celex/32001L0001"] for k in keys}
+    both = flows.build_european(spark, str(tmp_path / "eu2.zip"), str(tmp_path / "eu"), transport_factory=second)
+    assert sorted(r["celex"] for r in both["acts"].collect()) == ["32000L0060", "32001L0001"] and both["provisions"].count() == 10
