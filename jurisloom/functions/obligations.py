@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from .text import sentences, tokens
+from .text import tokens
 
 # Modal phrases, modalities, fields of the payload and their kinds, weights of a pair's fields.
 CUES = ("doit", "doivent", "est tenu de", "est tenue de", "sont tenus de", "ne peut pas", "ne peuvent pas", "est interdit de", "sont interdits de")
@@ -25,38 +25,20 @@ OTHER_MODALITY = 0.75
 MOST_CHARS, MOST_CANDIDATES = 12_000, 100
 
 
-def cue_candidates(text: Column, cues: tuple[str, ...] = CUES, prohibiting: tuple[str, ...] = PROHIBITING) -> Column:
-    """Array of ``excerpt, cue, modality, action`` for each sentence with a cue and something after it.
-
-    A cue is a whole phrase in any case; the first one in the sentence counts.
-    """
-    pattern = r"(?iu)(?<![\p{L}\p{N}_])(" + "|".join(re.escape(c) for c in sorted(cues, key=len, reverse=True)) + r")(?![\p{L}\p{N}_])"
-    strip = r"^[ \t\n\r\f]+|[ \t\n\r\f]+$"
-
-    def candidate(sentence: Column) -> Column:
-        s = F.regexp_replace(sentence, strip, "")
-        cue = F.regexp_extract(s, pattern, 1)
-        tail = F.substring(s, F.regexp_instr(s, F.lit(pattern), 0) + F.length(cue), F.length(s))
-        no = F.lit(False)
-        for p in prohibiting:
-            no = no | F.contains(F.lower(cue), F.lit(p))
-        return F.struct(
-            s.alias("excerpt"), F.lower(cue).alias("cue"), F.when(no, "PROHIBITION").otherwise("OBLIGATION").alias("modality"),
-            F.regexp_replace(tail, "^[ :;,]+|[ :;,]+$", "").alias("action"),
-        )
-
-    found = F.transform(sentences(F.coalesce(text, F.lit(""))), candidate)
-    return F.filter(found, lambda c: (c["cue"] != "") & (c["action"] != ""))
+#: A text cut without a rest: sentences with their end mark, and every other character alone.
+PIECES = r"[^.!?\n]+(?:[.!?]|$)|[\s\S]"
 
 
-def with_spans(text: Column, candidates: Column) -> Column:
-    """Candidates with the half-open span of their first literal occurrence, in characters."""
+def cue_pattern(cues: tuple[str, ...] = CUES) -> str:
+    """A cue as a whole phrase in any case, as the first group."""
+    return r"(?iu)(?<![\p{L}\p{N}_])(" + "|".join(re.escape(c) for c in sorted(cues, key=len, reverse=True)) + r")(?![\p{L}\p{N}_])"
 
-    def place(c: Column) -> Column:
-        at = F.call_function("locate", c["excerpt"], text)
-        return F.struct(c["excerpt"].alias("excerpt"), c["modality"].alias("modality"), c["action"].alias("action"), (at - 1).alias("span_start"), (at - 1 + F.length(c["excerpt"])).alias("span_end"))
 
-    return F.transform(candidates, place)
+def modality_of(cue: Column, prohibiting: tuple[str, ...] = PROHIBITING) -> Column:
+    no = F.lit(False)
+    for p in prohibiting:
+        no = no | F.contains(F.lower(cue), F.lit(p))
+    return F.when(no, "PROHIBITION").otherwise("OBLIGATION")
 
 
 def literal_anchor(text: Column, excerpt: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters that count as white space, spelled out so that every engine agrees.
 SPACE = r"[\t\n\u000B\f\r\u001C-\u001F \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
@@ -49,9 +52,20 @@ def sentences(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[^.!?\n]+(?:[.!?]|$)"), F.lit(0))
 
 
+@F.pandas_udf(StringType())
+def _decomposed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+
 def fold(text: Column) -> Column:
-    """Lower case without Latin accents."""
-    return F.lower(F.translate(F.coalesce(text, F.lit("")), ACCENTED, PLAIN))
+    """Lower case of the compatibility decomposition without its marks.
+
+    Texts of ASCII and the accented letters above are translated; only others,
+    say with ligatures or marks of their own, go to a vectorised function.
+    """
+    text = F.coalesce(text, F.lit(""))
+    known = text.rlike(rf"^[\x00-\x7F{ACCENTED}]*$")
+    return F.lower(F.coalesce(_decomposed(F.when(~known, text)), F.translate(text, ACCENTED, PLAIN)))
 
 
 def tokens(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:

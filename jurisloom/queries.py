@@ -18,7 +18,8 @@ from .functions import celex as cx
 from .functions import dates, fulltext, ids, text, vectors
 from .functions import obligations as ob
 from .operators import dedup, merge, reports
-from .plans import european, national, obligations, search
+from .plans import european, measures, national, obligations, search
+from .plans.obligation_store import audit, cascade_policy
 from .streaming.query_log import retained
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,10 +158,9 @@ def unlabelled_docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(text) AS checksum FROM documents d WHERE length(text) BETWEEN 100 AND 12000 AND NOT EXISTS (SELECT 1 FROM documents x JOIN labels l ON l.doc_id = x.doc_id WHERE sha256(x.text) = sha256(d.text))")
 def antijoin_checksum(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    seen = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id").select(F.col("doc_id").alias("source_id"), F.sha2("text", 256).alias("source_checksum")).withColumn("policy_version", F.lit("p1"))
-    sources = docs.select(F.col("doc_id").alias("id"), "text").withColumn("source_checksum", F.sha2("text", 256)).filter(F.length("text").between(100, 12_000))
-    return sources.join(seen.select("source_checksum").distinct(), "source_checksum", "left_anti").select(F.col("id").alias("doc_id"), F.col("source_checksum").alias("checksum"))
+    docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("id"), "doc_id", "text")
+    seen = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id").select(F.col("id").alias("source_id"), F.col("id").alias("source_checksum"), F.lit("p1").alias("policy_version"))
+    return obligations.cascade_sources(docs, seen, "p1").select("doc_id", F.col("source_checksum").alias("checksum"))
 
 
 @query("SELECT doc_id, sha256(text) AS checksum FROM documents d WHERE length(text) BETWEEN 100 AND 12000 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 0)")
@@ -272,11 +272,42 @@ def key_collisions(spark: SparkSession, d: str) -> DataFrame:
     return dedup.collisions(rows, "checksum", "doc_id").select("checksum", "n", F.array_join(F.col("values").cast("array<string>"), ",").alias("doc_ids"))
 
 
-@query("SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(lower(html), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag")
+def members(spark: SparkSession, d: str) -> DataFrame:
+    """Markup made of all documents: their text in acts, annexes, and members that can't be parsed."""
+    body = F.concat(F.lit("<P>"), F.replace(F.replace(F.translate("text", "".join(map(chr, range(9))) + "\x0b\x0c", ""), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</P>"))
+    k, root = F.col("doc_id"), F.when(F.col("doc_id") % 3 == 0, "ANNEX").otherwise("ACT")
+    articles = F.repeat(F.concat(F.lit("<ARTICLE><PARAG><LIST><NP>"), F.when(k % 4 == 0, body).otherwise(F.lit("")), F.lit("</NP></LIST></PARAG></ARTICLE>")), (k % 5).cast("int"))
+    content = F.concat(F.lit("<"), root, F.lit(">"), articles, body, F.lit("</"), root, F.when(k % 7 == 6, "").otherwise(F.lit(">")))
+    ending = F.when(k % 2 == 0, ".doc.xml").otherwise(".fmx.xml")
+    return table(spark, d, "documents").select(F.concat(F.col("source"), F.lit("/"), k.cast("string"), ending).alias("path"), content.cast("binary").alias("content"))
+
+
+@query("""
+WITH m AS (SELECT *, doc_id % 7 = 6 AS bad FROM documents)
+SELECT source AS cellar_uuid, source || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.doc.xml' ELSE '.fmx.xml' END AS member, CASE WHEN doc_id % 2 = 0 THEN 'DOC' ELSE 'FMX' END AS role,
+  CASE WHEN NOT bad THEN CASE WHEN doc_id % 3 = 0 THEN 'ANNEX' ELSE 'ACT' END END AS root_tag, CASE WHEN NOT bad THEN doc_id % 5 END AS article_count, CASE WHEN NOT bad THEN doc_id % 5 END AS paragraph_count,
+  bad AS broken FROM m
+""")
+def xml_inventory(spark: SparkSession, d: str) -> DataFrame:
+    found = european.inventory(members(spark, d))
+    broken = F.col("parse_error").isNotNull()
+    kept = lambda c: F.when(~broken, F.col(c)).alias(c)
+    return found.select("cellar_uuid", "member", "role", kept("root_tag"), kept("article_count"), kept("paragraph_count"), broken.alias("broken"))
+
+
+@query("""
+WITH m AS (SELECT source, doc_id, doc_id % 7 = 6 AS bad, CASE WHEN doc_id % 7 = 6 THEN '<ERROR>' WHEN doc_id % 3 = 0 THEN 'ANNEX' ELSE 'ACT' END AS root FROM documents),
+r AS (SELECT source, root, count(*) AS n FROM m GROUP BY ALL)
+SELECT source AS cellar_uuid, count(*) AS xml_files, count(*) FILTER (WHERE bad) AS parse_errors, sum(CASE WHEN NOT bad THEN doc_id % 5 END)::BIGINT AS articles,
+  (SELECT array_to_string(list(root || '=' || n ORDER BY root), ',') FROM r WHERE r.source = m.source) AS roots FROM m GROUP BY source
+""")
 def rollup_histogram(spark: SparkSession, d: str) -> DataFrame:
-    tags = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all(F.lower("html"), F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag"))
-    per_page = tags.groupBy("tag", "page_id").agg(F.count("*").alias("n"))
-    return per_page.groupBy("tag").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
+    found = european.inventory(members(spark, d))
+    # Counts of broken members end where their markup does.
+    found = found.withColumn("article_count", F.when(F.col("parse_error").isNull(), F.col("article_count"))).withColumn("root_tag", F.when(F.col("parse_error").isNull(), F.col("root_tag")))
+    rolled = european.objects(found)
+    roots = F.array_join(F.transform(F.map_entries("roots"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return rolled.select("cellar_uuid", "xml_files", "parse_errors", F.col("article_count").alias("articles"), roots.alias("roots"))
 
 
 @query("""
@@ -293,10 +324,15 @@ def eav_pivot(spark: SparkSession, d: str) -> DataFrame:
     return reports.pivot_attributes(rows, "user_id", "event_type", "value", ["click", "purchase"])
 
 
-@query("SELECT user_id, CAST(floor(value) AS BIGINT) AS target, count(DISTINCT event_type) AS evidence_n, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS evidence FROM events GROUP BY 1, 2")
+@query("SELECT user_id::VARCHAR AS eu_celex, CAST(floor(value) AS BIGINT)::VARCHAR AS nim_celex, array_to_string(list_sort(list(DISTINCT event_type || ':' || CASE WHEN event_id % 2 = 0 THEN 'back' ELSE 'there' END)), ',') AS evidence FROM events GROUP BY 1, 2")
 def logical_link_dedup(spark: SparkSession, d: str) -> DataFrame:
-    edges = table(spark, d, "events").select("user_id", F.floor("value").alias("target"), "event_type").distinct()
-    return edges.groupBy("user_id", "target").agg(F.count("*").alias("evidence_n"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("evidence"))
+    target = F.floor("value").cast("string")
+    edges = table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("eu_celex"), F.col("user_id").cast("string").alias("eu_work_uri"), target.alias("nim_work_uri"), target.alias("nim_celex"),
+        F.col("event_type").alias("relation"), F.when(F.col("event_id") % 2 == 0, "back").otherwise("there").alias("direction"),
+    )
+    evidence = F.array_join(F.transform("evidence", lambda e: F.concat(e["relation"], F.lit(":"), e["direction"])), ",")
+    return measures.logical_links(edges).select("eu_celex", "nim_celex", evidence.alias("evidence"))
 
 
 @query("""
@@ -321,9 +357,15 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", ids.provision_id(F.lit("32000L0060"), F.col("source"), F.lit("ARTICLE"), F.col("doc_id")).alias("provision_id"), ids.checksum(F.col("text")).alias("checksum"))
 
 
-@query(None)
+UUID5_SQL = "sha1(unhex('{ns}') || encode('LEGI:version:' || doc_id::VARCHAR))"
+
+
+@query(f"""
+WITH h AS (SELECT doc_id, {UUID5_SQL.format(ns=ids.NAMESPACE.replace("-", ""))} AS h FROM documents)
+SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(to_hex((('0x' || substr(h, 17, 1))::INTEGER & 3) | 8)) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM h
+""")
 def entity_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Name-based UUIDs; DuckDB has none, tests compare them with Python's."""
+    """Name-based UUIDs (SHA-1 with version and variant)."""
     return table(spark, d, "documents").select("doc_id", ids.entity_id("version", F.col("doc_id").cast("string")).alias("id"))
 
 
@@ -370,9 +412,12 @@ def celex_parse(spark: SparkSession, d: str) -> DataFrame:
 TOKENS_SQL = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{3,}'), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w)))"
 
 
-@query(f"SELECT conv_id, turn, len({TOKENS_SQL})::INTEGER AS n, array_to_string(list_sort({TOKENS_SQL}), ' ') AS tokens FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+DECOMPOSED_SQL = TOKENS_SQL.replace("lower(text)", "lower(strip_accents(text))")
+
+
+@query(f"SELECT conv_id, turn, len({DECOMPOSED_SQL})::INTEGER AS n, array_to_string(list_sort({DECOMPOSED_SQL}), ' ') AS tokens FROM conversations")
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).withColumn("t", text.tokens(F.col("text")))
+    rows = table(spark, d, "conversations").withColumn("t", text.tokens(F.col("text")))
     return rows.select("conv_id", "turn", F.size("t").alias("n"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
 
 
@@ -396,15 +441,25 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("sentences"))
 
 
-@query(r"""
-WITH s AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '[^.!?\n]+(?:[.!?]|$)')), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') AS s FROM documents WHERE lang = 'en'),
-c AS (SELECT doc_id, s AS excerpt, lower(regexp_extract(s, '(?i)(?:^|[^\p{L}\p{N}_])(that the|that|this)(?:$|[^\p{L}\p{N}_])', 1)) AS cue FROM s),
-t AS (SELECT doc_id, excerpt, cue, regexp_replace(excerpt, '(?is)^.*?(?:^|[^\p{L}\p{N}_])(?:that the|that|this)($|[^\p{L}\p{N}_])', '\1') AS tail FROM c WHERE cue <> '')
-SELECT doc_id, cue, CASE WHEN cue = 'this' THEN 'PROHIBITION' ELSE 'OBLIGATION' END AS modality, count(*) AS n FROM t WHERE regexp_replace(tail, '^[ :;,]+|[ :;,]+$', '', 'g') <> '' GROUP BY 1, 2, 3
+#: Frequent words as cues, so that texts in all languages have some.
+CUED_SQL = "replace(replace(replace(text, ' the ', ' doit '), ' de ', ' ne peut pas '), ' und ', ' sont tenus de ')"
+_CUES = "|".join(sorted(ob.CUES, key=len, reverse=True))
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, {CUED_SQL} AS text FROM documents),
+p AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+(?:[.!?]|$)|[\s\S]') AS pieces FROM t),
+u AS (SELECT doc_id, pieces, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM p),
+s AS (SELECT doc_id, pieces, k, piece, regexp_replace(piece, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') AS excerpt FROM u),
+c AS (SELECT *, lower(regexp_extract(excerpt, '(?i)(?:^|[^\p{{L}}\p{{N}}_])({_CUES})(?:$|[^\p{{L}}\p{{N}}_])', 1)) AS cue FROM s),
+a AS (SELECT *, regexp_replace(regexp_replace(excerpt, '(?is)^.*?(?:^|[^\p{{L}}\p{{N}}_])(?:{_CUES})($|[^\p{{L}}\p{{N}}_])', '\1'), '^[ :;,]+|[ :;,]+$', '', 'g') AS action FROM c WHERE cue <> ''),
+x AS (SELECT *, (coalesce(length(array_to_string(pieces[1:k - 1], '')), 0) + length(piece) - length(regexp_replace(piece, '^[ \t\n\r\f]+', '')))::INTEGER AS span_start FROM a WHERE action <> '')
+SELECT doc_id, span_start, span_start + length(excerpt)::INTEGER AS span_end, cue, CASE WHEN contains(cue, 'ne peut') OR contains(cue, 'interdit') THEN 'PROHIBITION' ELSE 'OBLIGATION' END AS modality, md5(action) AS action FROM x
 """)
 def cue_extract(spark: SparkSession, d: str) -> DataFrame:
-    found = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.explode(ob.cue_candidates(F.col("text"), ("that the", "that", "this"), ("this",))).alias("c"))
-    return found.groupBy("doc_id", F.col("c.cue").alias("cue"), F.col("c.modality").alias("modality")).agg(F.count("*").alias("n"))
+    cued = F.replace(F.replace(F.replace("text", F.lit(" the "), F.lit(" doit ")), F.lit(" de "), F.lit(" ne peut pas ")), F.lit(" und "), F.lit(" sont tenus de "))
+    found = obligations.extract(table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), cued.alias("text")))
+    return found.select(F.col("source_id").alias("doc_id"), "span_start", "span_end", "cue", "modality", F.md5("action").alias("action"))
 
 
 @query("""
@@ -548,6 +603,162 @@ def pending_work(spark: SparkSession, d: str) -> DataFrame:
     return pending(table(spark, d, "documents").select("doc_id"), done, "doc_id")
 
 
+def national_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Line items, orders and customers as versions, units and texts."""
+    li, o, c = (table(spark, d, n) for n in ("lineitem", "orders", "customer"))
+    day = lambda x: F.to_date(x)
+    v = li.select(
+        F.col("l_orderkey").cast("string").alias("unite_id"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("source_id"), F.col("l_linestatus").alias("etat"),
+        day("l_shipdate").alias("date_debut"), F.lit(None).cast("date").alias("date_fin"), F.col("l_returnflag").alias("contenu"), F.lit(None).cast("string").alias("nota"),
+    )
+    u = o.select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("texte_id"), F.col("o_orderpriority").alias("numero"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 100).cast("int").alias("ordre"), F.col("o_orderstatus").alias("chemin"),
+    )
+    t = c.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_custkey").cast("string").alias("source_id"), F.col("c_name").alias("titre"), F.col("c_mktsegment").alias("type"))
+    return v, u, t
+
+
+@query("""
+WITH k AS (SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 1)
+SELECT l_orderkey || '-' || l_linenumber AS version_source_id, coalesce(c_custkey::VARCHAR, '') AS texte_source_id, coalesce(c_name, '') AS titre, coalesce(c_mktsegment, '') AS type_texte, o_orderpriority AS numero,
+  l_linestatus AS etat, strftime(l_shipdate, '%Y-%m-%d') AS date_debut, '' AS date_fin, l_returnflag AS contenu, '' AS nota, o_orderstatus AS chemin
+FROM lineitem JOIN k USING (l_orderkey, l_linenumber) JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment = 'BUILDING'
+""")
+def article_view(spark: SparkSession, d: str) -> DataFrame:
+    first = table(spark, d, "lineitem").orderBy("l_orderkey", "l_linenumber").limit(1).select("l_orderkey", "l_linenumber").head()
+    return search.article(*national_tables(spark, d), f"{first[0]}-{first[1]}")
+
+
+@query("""
+WITH t AS (SELECT min(c_custkey) AS k FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND l_linestatus = 'O')
+SELECT c_name AS titre, o_orderkey::VARCHAR AS unite_id, o_orderpriority AS numero, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 100)::INTEGER END AS ordre, l_orderkey || '-' || l_linenumber AS version_source_id, l_returnflag AS contenu
+FROM t JOIN customer ON c_custkey = k JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linestatus = 'O'
+""")
+def text_listing(spark: SparkSession, d: str) -> DataFrame:
+    v, u, t = national_tables(spark, d)
+    first = t.join(u.select(F.col("texte_id").alias("id"), F.col("id").alias("unite_id")), "id").join(v.filter("etat = 'O'"), "unite_id").agg(F.min(F.col("id").cast("long"))).head()[0]
+    return search.text_listing(v, u, t, str(first), "O").select("titre", "unite_id", "numero", "ordre", "version_source_id", "contenu")
+
+
+@query("SELECT substr(string_agg(text, chr(10) ORDER BY doc_id::VARCHAR), 1, 30000) AS text FROM documents WHERE upper(source) = (SELECT upper(min(source)) FROM documents) AND trim(coalesce(text, '')) <> ''")
+def matching_source(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("provision_id"), F.col("source").alias("celex"), "text")
+    return search.matching_source(docs, docs.agg(F.min("celex")).head()[0])
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id % 2 = 0 AS l, event_type, floor(value)::BIGINT % 5 AS x, event_id FROM events),
+k AS (SELECT user_id, event_type, x, bool_or(l) AS l, bool_or(NOT l) AS r FROM e GROUP BY ALL),
+g AS (SELECT user_id, count(*) FILTER (WHERE l) AS local_count, count(*) FILTER (WHERE r) AS reference_count, count(*) FILTER (WHERE NOT r) AS lo, count(*) FILTER (WHERE NOT l) AS ro FROM k GROUP BY user_id)
+SELECT user_id, CASE WHEN user_id % 5 = 0 THEN 'INVALID_COMPARISON' WHEN lo + ro = 0 THEN 'EXACT_FIELDS' ELSE 'DISAGREEMENT' END AS agreement, local_count, reference_count,
+  CASE WHEN user_id % 5 <> 0 THEN lo END AS local_only, CASE WHEN user_id % 5 <> 0 THEN ro END AS reference_only FROM g
+""")
+def extraction_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Two extractions of every source, one of which isn't valid for some; places differ and don't count."""
+    e = table(spark, d, "events")
+    padded = F.concat(F.lit(" "), F.when(F.col("event_id") % 3 == 0, F.upper("event_type")).otherwise(F.col("event_type")))
+    empty = {c: F.lit(None).cast("string").alias(c) for c in ("actor", "object", "deadline", "frequency")}
+    rows = e.select("user_id", "event_id", F.lit("OBLIGATION").alias("modality"), padded.alias("action"), *empty.values(), (F.floor("value") % 5).cast("string").alias("threshold"), F.col("event_id").alias("span_start"))
+    valid = e.select("user_id").distinct().withColumns({"local_valid": F.col("user_id") % 5 != 0, "reference_valid": F.lit(True)})
+    return obligations.agreement_of(rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"), "user_id", valid)
+
+
+@query("""
+WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'llm' WHEN 1 THEN 'hybrid' ELSE 'deterministic' END AS mode, CASE WHEN doc_id % 3 < 2 THEN n_chars % 4 ELSE 0 END AS candidates, CASE WHEN doc_id % 3 < 2 THEN n_chars % 4 - least(n_chars % 4, doc_id % 2) ELSE 0 END AS rejected,
+  CASE WHEN doc_id % 3 < 2 THEN least(n_chars % 4, doc_id % 2) ELSE 0 END AS kept, CASE WHEN doc_id % 3 > 0 THEN doc_id % 4 ELSE 0 END AS by_cue FROM documents)
+SELECT doc_id, CASE WHEN mode = 'llm' AND candidates > 0 AND kept = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,
+  CASE WHEN mode = 'llm' AND candidates > 0 AND kept = 0 THEN 'FAILED_VALIDATION' WHEN rejected > 0 THEN 'PARTIAL' WHEN kept + by_cue = 0 THEN 'EMPTY' ELSE 'SUCCESS' END AS outcome FROM r
+""")
+def run_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("doc_id"), F.col("n_chars") % 4
+    model = k % 3 < 2
+    kept = F.when(model, F.least(n, k % 2)).otherwise(F.lit(0))
+    candidates, by_cue = F.when(model, n).otherwise(F.lit(0)), F.when(k % 3 > 0, k % 4).otherwise(F.lit(0))
+    mode = F.when(k % 3 == 0, "llm").when(k % 3 == 1, "hybrid").otherwise("deterministic")
+    status, outcome = obligations.run_result(mode, candidates, candidates - kept, kept, kept + by_cue)
+    return table(spark, d, "documents").select("doc_id", status.alias("status"), outcome.alias("outcome"))
+
+
+def stored_obligations(spark: SparkSession, d: str) -> DataFrame:
+    """A citation of every document, some with another text, place or jurisdiction, in runs by day."""
+    k = F.col("doc_id")
+    return table(spark, d, "documents").select(
+        k.cast("string").alias("obligation_id"), F.concat(F.lit("r"), (k % 9).cast("string")).alias("run_id"), F.when(k % 4 == 0, "FR").otherwise("EU").alias("jurisdiction"), F.when(k % 10 == 3, "gone").otherwise(F.col("source")).alias("source_id"),
+        F.when(k % 7 == 0, "x").otherwise(F.sha2("text", 256)).alias("source_checksum"), F.substring("text", 3, 10).alias("source_excerpt"), F.when(k % 3 == 0, 3).otherwise(2).alias("span_start"), F.lit(12).alias("span_end"),
+        F.when(k % 6 == 0, "REJECTED").otherwise("PENDING").alias("review_status"), "text",
+    )
+
+
+@query("""
+WITH s AS (SELECT source AS id, arg_min(text, doc_id) AS text FROM documents GROUP BY source),
+o AS (SELECT doc_id::VARCHAR AS obligation_id, CASE WHEN doc_id % 4 = 0 THEN 'FR' ELSE 'EU' END AS jurisdiction, CASE WHEN doc_id % 10 = 3 THEN 'gone' ELSE source END AS source_id, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE sha256(text) END AS checksum,
+  substr(text, 3, 10) AS excerpt, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END AS a FROM documents),
+i AS (SELECT obligation_id, jurisdiction, source_id, CASE WHEN jurisdiction = 'FR' THEN ['FR_SOURCE_NOT_CONFIGURED'] WHEN s.text IS NULL THEN ['SOURCE_NOT_FOUND'] ELSE
+  list_filter([CASE WHEN sha256(s.text) <> checksum THEN 'SOURCE_CHECKSUM_MISMATCH' END, CASE WHEN 12 > length(s.text) THEN 'INVALID_SPAN' WHEN substr(s.text, a + 1, 12 - a) <> excerpt THEN 'EXCERPT_MISMATCH' END], lambda x: x IS NOT NULL) END AS issues
+  FROM o LEFT JOIN s ON s.id = o.source_id)
+SELECT obligation_id, jurisdiction, source_id, array_to_string(issues, ',') AS issues, len(issues) = 0 AS ok FROM i
+""")
+def evidence_audit(spark: SparkSession, d: str) -> DataFrame:
+    sources = table(spark, d, "documents").groupBy(F.col("source").alias("id")).agg(F.min_by("text", "doc_id").alias("text"))
+    return audit(stored_obligations(spark, d).drop("text"), sources).withColumn("issues", F.array_join("issues", ","))
+
+
+@query("""
+WITH o AS (SELECT doc_id::VARCHAR AS obligation_id, 'r' || doc_id % 9 AS run_id, CASE WHEN doc_id % 10 = 3 THEN 'gone' ELSE source END AS source_id, doc_id % 6 = 0 AS rejected FROM documents WHERE doc_id % 4 <> 0),
+g AS (SELECT * FROM o WHERE run_id NOT IN ('r2', 'r8')),
+m AS (SELECT source_id, max(run_id) AS run_id FROM g GROUP BY source_id)
+SELECT obligation_id, source_id, run_id FROM g JOIN m USING (source_id, run_id) WHERE NOT rejected
+""")
+def latest_obligations(spark: SparkSession, d: str) -> DataFrame:
+    """Runs 2 and 8 failed; the others succeeded one day after another."""
+    status = F.when(F.col("id").isin(2, 8), "FAILED").otherwise("SUCCEEDED")
+    runs = spark.range(9).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("run_id"), status.alias("status"), F.timestamp_seconds(F.col("id") * 86_400).alias("started_at"))
+    return obligations.latest_obligations(stored_obligations(spark, d), runs, "EU").select("obligation_id", "source_id", "run_id")
+
+
+@query("""
+WITH o AS (SELECT doc_id, quality, toxic FROM labels),
+n AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'RUNNING' WHEN lang = 'fr' THEN 'COMPLETED' ELSE 'FAILED' END AS status, CASE WHEN lang = 'fr' THEN 'EXACT_FIELDS' END AS agreement FROM documents)
+SELECT coalesce(o.doc_id, n.doc_id)::VARCHAR AS source_id, coalesce(n.status, 'FAILED') AS status, coalesce(n.agreement, CASE WHEN o.doc_id IS NOT NULL THEN 'a' || quality END) AS agreement,
+  CASE WHEN o.doc_id IS NULL THEN 2 WHEN n.doc_id IS NULL THEN 1 WHEN n.status = 'RUNNING' THEN 2 ELSE 1 END AS claimed FROM o FULL JOIN n ON o.doc_id = n.doc_id
+""")
+def cascade_states(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as states, documents as what a step writes."""
+    at = lambda n: F.timestamp_seconds(F.lit(n)).alias("claimed_at")
+    old = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("source_id"), F.lit("FAILED").alias("status"), F.concat(F.lit("a"), F.col("quality").cast("string")).alias("agreement"), F.lit(None).cast("string").alias("details"), at(1))
+    status = F.when(F.col("lang") == "en", "RUNNING").when(F.col("lang") == "fr", "COMPLETED").otherwise("FAILED")
+    new = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), status.alias("status"), F.when(F.col("lang") == "fr", "EXACT_FIELDS").alias("agreement"), F.lit(None).cast("string").alias("details"), at(2))
+    return merge.upsert(old, new, ["source_id"], cascade_policy()).select("source_id", "status", "agreement", F.unix_timestamp("claimed_at").cast("int").alias("claimed"))
+
+
+@query("""
+WITH o AS (SELECT doc_id, map {'lang': 'old', 'quality': quality::VARCHAR} AS m FROM labels), n AS (SELECT doc_id, map {'lang': lang, 'n': n_chars::VARCHAR} AS m FROM documents),
+j AS (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, o.m AS a, n.m AS b FROM o FULL JOIN n ON o.doc_id = n.doc_id)
+SELECT doc_id, coalesce(b['lang'], a['lang']) AS lang, a['quality'] AS quality, b['n'] AS n FROM j
+""")
+def metadata_merge(spark: SparkSession, d: str) -> DataFrame:
+    meta = lambda *kv: F.create_map(*(F.lit(x) if k % 2 == 0 else x.cast("string") for k, x in enumerate(kv))).alias("metadata")
+    old = table(spark, d, "labels").select(F.col("doc_id").alias("id"), meta("lang", F.lit("old"), "quality", F.col("quality")))
+    new = table(spark, d, "documents").select(F.col("doc_id").alias("id"), meta("lang", F.col("lang"), "n", F.col("n_chars")))
+    policy, default = national.merge_policy("version")
+    both = merge.upsert(old, new, ["id"], policy, default)
+    return both.select(F.col("id").alias("doc_id"), *(F.try_element_at("metadata", F.lit(c)).alias(c) for c in ("lang", "quality", "n")))
+
+
+@query(f"""
+WITH b AS (SELECT item_id, {FOLDED_TOKENS_SQL} AS t, item_id % 3 AS m FROM benchmark), d AS (SELECT conv_id, turn, {FOLDED_TOKENS_SQL} AS t, role FROM conversations),
+p AS (SELECT item_id::VARCHAR AS eu_id, conv_id || '-' || turn AS fr_id, len(list_intersect(b.t, d.t)) AS i, len(b.t) + len(d.t) AS u, len(b.t) * len(d.t) AS z, m, role FROM b, d),
+s AS (SELECT eu_id, fr_id, i / (u - i) AS j, (m = 0) = (role = 'user') AS same_modality FROM p WHERE z > 0)
+SELECT eu_id, fr_id, round(j, 4) AS action, same_modality, round(j * CASE WHEN same_modality THEN 1.0 ELSE 0.75 END, 4) AS score FROM s WHERE round(j * CASE WHEN same_modality THEN 1.0 ELSE 0.75 END, 4) >= 0.12
+""")
+def pair_features(spark: SparkSession, d: str) -> DataFrame:
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("object", "actor")]
+    eu = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("action"), F.when(F.col("item_id") % 3 == 0, "OBLIGATION").otherwise("PROHIBITION").alias("modality"), *nothing)
+    fr = table(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("action"), F.when(F.col("role") == "user", "OBLIGATION").otherwise("PROHIBITION").alias("modality"), *nothing)
+    return obligations.pair_candidates(eu, fr, 0.12, None).select("eu_id", "fr_id", F.col("field_jaccard.action").alias("action"), "same_modality", "score")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -312,11 +312,26 @@ def test_model_extraction_and_cascade():
     for wrong in ("[]", '{"obligations": 1}', '{"obligations": [], "x": 1}', json.dumps({"obligations": [good] * 101})):
         with pytest.raises(ValueError):
             obligations.model_extract(text, lambda t, w=wrong: w)
-    assert obligations.run_status("llm", 0, 2) == "FAILED_VALIDATION" and obligations.run_status("hybrid", 0, 2) == "EMPTY" and obligations.run_status("llm", 1, 1) == "PARTIAL" and obligations.run_status("llm", 1, 0) == "SUCCESS"
-    same = obligations.Cascade({"local": lambda t: answer(good), "reference": lambda t: answer(good | {"actor": None}), "arbiter": None})
-    assert same.process(text)["status"] == "COMPLETED"
-    other = obligations.Cascade({"local": lambda t: answer(), "reference": lambda t: answer(good), "arbiter": lambda t: "nonsense"})
-    assert other.process(text)["status"] == "NEEDS_REVIEW" and other.process(text)["agreement"] == "DISAGREEMENT"
+    one = obligations.Cascade({"local": lambda t: answer(good), "reference": lambda t: answer(good | {"deadline": " "}), "arbiter": None})
+    assert one.process(text)["status"] == "COMPLETED" and one.process(text)["agreement"] == "EXACT_FIELDS"
+    nonsense, nothing = (lambda t: "nonsense"), (lambda t: answer())
+
+    def off(t):
+        raise urllib.error.URLError("off")
+
+    cases = [  # local, reference, arbiter: status, agreement
+        (nothing, lambda t: answer(good), lambda t: answer(good), "COMPLETED", "GEMINI_SUPPORTS_DEEPSEEK"),
+        (nothing, lambda t: answer(good), nothing, "NEEDS_REVIEW", "ARBITRATION_REQUIRED"),
+        (nonsense, lambda t: answer(good), lambda t: answer(good), "COMPLETED", "GEMINI_SUPPORTS_DEEPSEEK"),
+        (off, lambda t: answer(good), lambda t: answer(good), "COMPLETED", "GEMINI_SUPPORTS_DEEPSEEK"),
+        (lambda t: answer(good), lambda t: answer(good, bad), lambda t: answer(good), "NEEDS_REVIEW", "ARBITRATION_REQUIRED"),
+        (lambda t: answer(good), nonsense, lambda t: answer(good), "FAILED", None),
+        (nothing, lambda t: answer(good), off, "FAILED", None),
+    ]
+    for local, reference, arbiter, status, agreement in cases:
+        got = obligations.Cascade({"local": local, "reference": reference, "arbiter": arbiter}).process(text)
+        assert (got["status"], got.get("agreement")) == (status, agreement)
+        assert (got["chosen"] is not None) == (status == "COMPLETED")
 
     def broke(t):
         raise urllib.error.HTTPError("u", 402, "x", None, io.BytesIO(b""))
@@ -324,18 +339,117 @@ def test_model_extraction_and_cascade():
     stop = obligations.Cascade({"local": broke, "reference": broke, "arbiter": broke})
     assert list(stop.run([("1", text), ("2", text)])) == ["1"]
     error = lambda code, body: urllib.error.HTTPError("u", code, "x", None, io.BytesIO(body))
-    assert not obligations.is_credit_error(error(429, b"rate limit")) and obligations.is_credit_error(error(429, b"insufficient_quota"))
+    assert not obligations.is_credit_error(error(429, b"rate limit")) and obligations.is_credit_error(error(429, b'{"error": {"code": "insufficient_quota"}}'))
+    assert obligations.is_credit_error(error(402, b"")) and obligations.is_credit_error(error(403, b"Insufficient Balance")) and not obligations.is_credit_error(error(500, b"insufficient_quota")) and not obligations.is_credit_error(None)
+    wrapped = RuntimeError("x")
+    wrapped.__cause__ = error(429, b'{"error": {"status": "RESOURCE_EXHAUSTED"}}')
+    assert obligations.is_credit_error(wrapped)
     assert obligations.claim(None) == "CLAIM" and obligations.claim("COMPLETED") == "SKIP" and obligations.claim("FAILED", 1) == "SKIP" and obligations.claim("FAILED", 1, True) == "CLAIM"
     with pytest.raises(RuntimeError):
         obligations.claim("RUNNING")
 
 
+def test_outcomes_of_runs(spark):
+    cases = {("llm", 2, 2, 0, 0): ("FAILED", "FAILED_VALIDATION"), ("hybrid", 2, 2, 0, 0): ("SUCCEEDED", "PARTIAL"), ("hybrid", 2, 2, 0, 3): ("SUCCEEDED", "PARTIAL"), ("llm", 2, 1, 1, 1): ("SUCCEEDED", "PARTIAL"),
+             ("llm", 1, 0, 1, 1): ("SUCCEEDED", "SUCCESS"), ("llm", 0, 0, 0, 0): ("SUCCEEDED", "EMPTY"), ("deterministic", 0, 0, 0, 0): ("SUCCEEDED", "EMPTY"), ("deterministic", 0, 0, 0, 2): ("SUCCEEDED", "SUCCESS")}
+    df = spark.createDataFrame(list(cases), "mode string, candidates int, rejected int, kept int, stored int")
+    status, outcome = obligations.run_result(*(F.col(c) for c in df.columns))
+    assert {tuple(r[:5]): (r[5], r[6]) for r in df.select("*", status.alias("s"), outcome.alias("o")).collect()} == cases
+
+
+def test_comparisons():
+    a = {"modality": "OBLIGATION", "action": " Publier ", "actor": None, "span_start": 0, "span_end": 5}
+    assert obligations.compare([a], [a | {"action": "publier", "span_start": 7, "span_end": 12}])["agreement"] == "EXACT_FIELDS"
+    assert obligations.compare([a], [a | {"threshold": "5 %"}])["agreement"] == "DISAGREEMENT"
+    assert obligations.compare([a], [])["local_only"] == 1
+    assert obligations.compare([a], [a], reference_valid=False) == {"agreement": "INVALID_COMPARISON", "local_count": 1, "reference_count": 1, "local_only": None, "reference_only": None}
+
+
+def test_store_of_obligations(spark, tmp_path):
+    from jurisloom.plans.obligation_store import ObligationStore
+
+    store = ObligationStore(spark, str(tmp_path / "ob"))
+    law = "Le maire doit publier le rapport annuel. Le maire doit publier le rapport annuel. Il ne peut pas fumer."
+    fr = spark.createDataFrame([("f1", law), ("f2", "Rien.")], "source_id string, text string")
+    nat = fr.select(F.col("source_id").alias("id"), "text")
+    got = {r["source_id"]: r for r in store.extract(fr, "FR", nat).collect()}
+    assert got["f1"]["outcome"] == "SUCCESS" and got["f1"]["stored"] == 3 and got["f2"]["outcome"] == "EMPTY"
+    with pytest.raises(ValueError):
+        store.extract(fr, "FR", nat.withColumn("text", F.lit("other")))
+    eu_text = "L'autorité doit publier le rapport annuel."
+    eu = spark.createDataFrame([("p1", "32000L0060", eu_text), ("p2", "32000L0060", "Elle doit agir vite.")], "id string, celex string, text string")
+    sources = eu.select(F.col("id").alias("source_id"), "text")
+
+    def model():
+        item = payload("x") | {"source_excerpt": "doit publier", "action": "publier le rapport annuel", "conditions": ["si"], "exceptions": []}
+
+        def chat(t):
+            if "vite" in t:
+                raise ConnectionError("off")
+            return json.dumps({"obligations": [item, item | {"source_excerpt": "inventé"}]})
+
+        return chat
+
+    got = {r["source_id"]: r for r in store.extract(sources, "EU", eu.select("id", "text"), "llm", model, "local", "m").collect()}
+    assert got["p1"]["outcome"] == "PARTIAL" and got["p1"]["status"] == "SUCCEEDED" and got["p1"]["rejected"] == 1 and got["p2"]["problem"].startswith("ConnectionError")
+    assert store.table("run").read().count() == 3
+    acts = spark.createDataFrame([("32000L0060",)], "celex string")
+    scope = obligations.Scope("32000L0060", ["f1"], "table 1")
+    pairs, skipped, cut = store.pair(scope, eu, nat, acts)
+    # A partial run is paired; both sentences of the national side match, the prohibition doesn't.
+    assert pairs.count() == 2 and skipped.count() == 0 and not cut
+    stored = store.table("obligation_pair").read()
+    assert stored.count() == 2 and {r["decision"] for r in stored.collect()} == {"REVIEW_REQUIRED"}
+    features = stored.head()["features"]
+    assert features["eu_conditions"] == ["si"] and features["same_modality"] and features["field_jaccard"]["object"] is None
+    first = store.table("evidence_check").read().collect()
+    assert {r["status"] for r in first} == {"VERIFIED"} and len(first) == 4
+    reviewed = stored.withColumn("decision", F.lit("ACCEPTED"))
+    store.table("obligation_pair").replace(reviewed)
+    store.pair(scope, eu, nat, acts)
+    assert {r["decision"] for r in store.table("obligation_pair").read().collect()} == {"ACCEPTED"}
+    assert sorted(store.check_evidence(nat, eu).select("obligation_id", "checked_at").collect()) == sorted((r["obligation_id"], r["checked_at"]) for r in first)
+    changed = store.check_evidence(nat.withColumn("text", F.concat("text", F.lit("!"))), eu).groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in changed} == {"VERIFIED": 1, "INVALID": 3}
+    rows = store.audit(eu).collect()
+    assert [r["obligation_id"] for r in rows] == sorted(r["obligation_id"] for r in rows)
+    assert {(r["jurisdiction"], r["ok"], tuple(r["issues"])) for r in rows} == {("FR", False, ("FR_SOURCE_NOT_CONFIGURED",)), ("EU", True, ())}
+    with pytest.raises(LookupError):
+        store.pair(scope, eu, nat, acts.limit(0))
+
+
+def test_states_of_the_cascade(spark, tmp_path):
+    from jurisloom.plans.obligation_store import ObligationStore
+
+    store = ObligationStore(spark, str(tmp_path / "ob"))
+    text = "Elle doit publier le rapport."
+    answer = json.dumps({"obligations": [payload(text)]})
+    calls = []
+
+    def flaky(t):
+        calls.append(t)
+        if len(calls) == 1:
+            raise ConnectionError("off")
+        return answer
+
+    work = lambda **k: store.run_cascade(obligations.Cascade({"local": lambda t: answer, "reference": flaky, "arbiter": lambda t: answer}), "FR", [("1", text)], **k)
+    assert work()["1"]["status"] == "FAILED" and work() == {}
+    row = store.states().head()
+    assert (row["status"], row["attempts"], row["completed_at"]) == ("FAILED", 1, None) and "off" in row["last_error"]
+    assert work(retry_failed=True)["1"]["status"] == "COMPLETED" and work(retry_failed=True) == {}
+    row = store.states().head()
+    assert (row["attempts"], row["agreement"], row["last_error"]) == (2, "EXACT_FIELDS", None) and row["completed_at"] >= row["claimed_at"]
+    store.table("extraction_cascade").replace(store.states().withColumn("status", F.lit("RUNNING")))
+    with pytest.raises(RuntimeError):
+        work()
+
+
 def test_runs_evidence_and_pairs(spark):
     text = "Le maire doit publier le rapport annuel."
     fr = spark.createDataFrame([("f1", text), ("f2", "Rien.")], "source_id string, text string")
     found = obligations.extract(fr)
     assert found.count() == 1
-    runs = spark.createDataFrame([("r1", "SUCCESS", datetime(2024, 1, 1)), ("r2", "SUCCESS", datetime(2024, 1, 2)), ("r3", "FAILED", datetime(2024, 1, 3))], "run_id string, status string, started_at timestamp")
+    runs = spark.createDataFrame([("r1", "SUCCEEDED", datetime(2024, 1, 1)), ("r2", "SUCCEEDED", datetime(2024, 1, 2)), ("r3", "FAILED", datetime(2024, 1, 3))], "run_id string, status string, started_at timestamp")
     o = spark.createDataFrame([("o1", "r1", "FR", "f1", "PENDING"), ("o2", "r2", "FR", "f1", "PENDING"), ("o3", "r2", "FR", "f1", "REJECTED"), ("o4", "r3", "FR", "f1", "PENDING")], "obligation_id string, run_id string, jurisdiction string, source_id string, review_status string")
     assert [r["obligation_id"] for r in obligations.latest_obligations(o, runs, "FR").collect()] == ["o2"]
     mine = found.withColumn("obligation_id", F.lit("o2")).withColumn("jurisdiction", F.lit("FR")).withColumnRenamed("excerpt", "source_excerpt")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jurisloom.functions import celex as cx
 from jurisloom.functions import dates, fulltext, ids, text, vectors
 from jurisloom.functions import obligations as ob
-from jurisloom.plans import search
+from jurisloom.plans import obligations, search
 
 
 def one(spark, value, kind, fn):
@@ -131,10 +131,20 @@ SENTENCE = "Le maire doit publier le rapport. Rien ici.\nL'agent ne peut pas ref
 
 
 def test_cues(spark):
-    got = one(spark, SENTENCE, "string", lambda x: ob.with_spans(x, ob.cue_candidates(x)))
+    cut = lambda text: sorted(obligations.extract(spark.createDataFrame([("s", text)], "source_id string, text string")).collect(), key=lambda c: c["span_start"])
+    got = cut(SENTENCE)
     assert [(c["modality"], c["action"]) for c in got] == [("OBLIGATION", "publier le rapport."), ("PROHIBITION", "refuser: la demande!"), ("PROHIBITION", "fumer")]
     assert all(SENTENCE[c["span_start"] : c["span_end"]] == c["excerpt"] for c in got)
-    assert one(spark, "Le doit-on savoir. Il DOIT", "string", ob.cue_candidates)[0]["action"] == "-on savoir."
+    assert cut("Le doit-on savoir. Il DOIT")[0]["action"] == "-on savoir."
+    twice = "Le maire doit agir.  Le maire doit agir.\nÉté où le maire doit agir\u00a0. Rien."
+    assert [(c["span_start"], twice[c["span_start"] : c["span_end"]]) for c in cut(twice)] == [(0, "Le maire doit agir."), (21, "Le maire doit agir."), (41, "Été où le maire doit agir\u00a0.")]
+    assert cut("") == [] and cut("\n..!") == []
+
+
+def test_tokens_are_decomposed(spark):
+    rows = ["e\u0301le\u0301ment \ufb01nal", "élément final", "x² \u2460", None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string")
+    assert [r[0] for r in df.orderBy("k").select(text.tokens(F.col("t"))).collect()] == [["element", "final"], ["element", "final"], [], [], []]
 
 
 def test_citations(spark):
