@@ -25,57 +25,71 @@ def http(code):
 
 
 def test_settings():
-    assert p.services({})[0] == p.Service("local", "local-model", "http://127.0.0.1:8080/v1")
+    assert p.Desk.of({}).endpoints == [p.Endpoint("local", "local-model", "http://127.0.0.1:8080/v1")]
     env = {"JURISLOOM_LLM_PROVIDERS": "remote, deepseek,local", "JURISLOOM_LLM_REMOTE_URL": "http://gpu/v1/", "DEEPSEEK_API_KEY": "k", "JURISLOOM_LLM_MODEL": "m", "JURISLOOM_LLM_LOCAL_MODEL": "own"}
-    found = p.services(env)
-    assert [s.name for s in found] == ["remote", "deepseek", "local"] and found[0].url == "http://gpu/v1" and found[1].key == "k"
-    assert [s.model for s in found] == ["m", "m", "own"]
+    found = p.Desk.of(env).endpoints
+    assert [e.name for e in found] == ["remote", "deepseek", "local"] and found[0].base == "http://gpu/v1" and found[1].secret == "k"
+    assert [e.model for e in found] == ["m", "m", "own"]
 
 
 @pytest.mark.parametrize("name,key", [("openai", "OPENAI_API_KEY"), ("deepseek", "DEEPSEEK_API_KEY"), ("gemini", "GEMINI_API_KEY")])
 def test_cloud_services_need_a_key(name, key):
     with pytest.raises(p.ProviderError):
-        p.service(name, {})
-    assert p.service(name, {key: "secret"}).key == "secret"
+        p.endpoint(name, {})
+    assert p.endpoint(name, {key: "secret"}).secret == "secret"
     with pytest.raises(p.ProviderError):
-        p.service("other", {})
+        p.endpoint("other", {})
 
 
 OK = {"choices": [{"message": {"content": "yes"}}]}
-TWO = [p.Service("remote", "m", "http://gpu"), p.Service("local", "m", "http://cpu")]
-SAID = [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}]
+TWO = [p.Endpoint("remote", "m", "http://gpu"), p.Endpoint("local", "m", "http://cpu")]
+SAID = [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]
 
 
 @pytest.mark.parametrize("problem", [URLError("off"), TimeoutError(), http(429), http(503)])
 def test_unavailable_servers_are_skipped(problem):
     server = Server([("http://gpu", problem), ("http://cpu", OK)])
-    assert p.chat(SAID, TWO, opener=server) == "yes" and len(server.asked) == 2
+    assert p.Desk(TWO, p.Line(server)).chat(SAID) == "yes" and len(server.asked) == 2
     with pytest.raises(p.ProviderUnavailable):
-        p.chat(SAID, TWO[:1], opener=server)
+        p.Desk(TWO[:1], p.Line(server)).chat(SAID)
+
+
+def test_calls_are_sent_again_by_the_policy():
+    answers, slept = [http(503), URLError("off"), OK], []
+    server = Server([("http://gpu", None)])
+
+    def opener(request, timeout):
+        server.answers = [("http://gpu", answers.pop(0))]
+        return server(request, timeout)
+
+    assert p.Desk(TWO[:1], p.Line(opener, p.Policy((1.0, 2.0, 4.0)), slept.append)).chat(SAID) == "yes"
+    assert slept == [1.0, 2.0] and not answers
 
 
 def test_refusals_are_not_hidden():
-    for answer in (http(400), {"choices": []}):
+    for answer in (http(400), {"choices": []}, []):
         with pytest.raises(p.ProviderError) as e:
-            p.chat(SAID, TWO, opener=Server([("http://gpu", answer), ("http://cpu", OK)]))
+            p.Desk(TWO, p.Line(Server([("http://gpu", answer), ("http://cpu", OK)]))).chat(SAID)
         assert not isinstance(e.value, p.ProviderUnavailable)
 
 
-def test_gemini_form():
+def test_generated_contents():
     server = Server([("http://g", {"candidates": [{"content": {"parts": [{"text": "oui"}]}}]})])
-    assert p.ask(SAID, p.Service("gemini", "m", "http://g", "k"), opener=server) == "oui"
+    e = p.endpoint("gemini", {"GEMINI_API_KEY": "k", "JURISLOOM_LLM_URL": "http://g", "JURISLOOM_LLM_MODEL": "m"})
+    assert p.Desk([e], p.Line(server)).chat(SAID) == "oui"
     url, body, headers = server.asked[0]
     assert url == "http://g/models/m:generateContent" and body["systemInstruction"]["parts"][0]["text"] == "s" and headers["X-goog-api-key"] == "k"
+    assert [c["role"] for c in body["contents"]] == ["user", "model"]
 
 
 def test_embeddings():
     shuffled = lambda body: {"data": [{"index": k, "embedding": [float(k), 1.0]} for k in reversed(range(len(body["input"])))]}
-    s = p.Service("remote", "m", "http://e", "k")
-    encode = p.RemoteEncoder(s, opener=Server([("http://e", shuffled)]))
-    assert encode.dimension == 2 and encode(["a", "b"]) == [[0.0, 1.0], [1.0, 1.0]]
-    with pytest.raises(p.ProviderError):
-        p.RemoteEncoder(s, 3, Server([("http://e", shuffled)]))(["a"])
-    with pytest.raises(p.ProviderError):
-        p.RemoteEncoder(s, 2, Server([("http://e", {"data": []})]))(["a"])
-    off = p.RemoteEncoder(s, 2, Server([("http://e", URLError("off"))]))
+    e = p.Endpoint("remote", "m", "http://e", "k")
+    server = Server([("http://e", shuffled)])
+    encode = p.RemoteEncoder(e, 2, p.Line(server))
+    assert encode(["a", "b"]) == [[0.0, 1.0], [1.0, 1.0]] and len(server.asked) == 1 and server.asked[0][2]["Authorization"] == "Bearer k"
+    for dimension, answer in ((3, shuffled), (2, {"data": []}), (2, {})):
+        with pytest.raises(p.ProviderError):
+            p.RemoteEncoder(e, dimension, p.Line(Server([("http://e", answer)])))(["a"])
+    off = p.RemoteEncoder(e, 2, p.Line(Server([("http://e", URLError("off"))])))
     assert FallbackEncoder([off, encode])(["a"]) == [[0.0, 1.0]]
