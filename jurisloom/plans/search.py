@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fulltext, vectors
 from ..functions.celex import looks_like_celex
+from . import search_index
 
 MOST_RESULTS = 50
 
@@ -52,12 +53,14 @@ def blend(df: DataFrame, weight: float, k: int, id_col: str = "id") -> DataFrame
 
 def hybrid(
     versions: DataFrame, query_vector: list[float], query_text: str, k: int = 10, min_score: float = 0.0, lexical_weight: float = 0.25,
-    multiplier: int = 8, use_text: bool = True, id_col: str = "id", text_cols: tuple[str, ...] = ("text",), **equal: object,
+    multiplier: int = 8, use_text: bool = True, id_col: str = "id", text_cols: tuple[str, ...] = ("text",), texts: DataFrame | None = None, **equal: object,
 ) -> DataFrame:
     """Vector search reranked by text; ``min_score`` drops rows after the limit.
 
     ``versions`` has the embeddings joined in; ``equal`` are column filters (None:
-    not applied).  The text never adds or removes candidates.
+    not applied).  The text never adds or removes candidates.  ``texts`` (by
+    ``id_col``, a row for each version) are what only the candidates need: they are fetched
+    for ``k * multiplier`` rows at most.
     """
     k = clamp_k(k)
     for column, value in equal.items():
@@ -67,6 +70,8 @@ def hybrid(
         out = vector_top(versions, query_vector, k, id_col).withColumn("lexical_score", F.lit(0.0)).withColumn("score", F.col("vector_score"))
         return out.filter(F.col("score") >= min_score)
     candidates = vector_top(versions, query_vector, max(k, k * max(1, multiplier)), id_col)
+    if texts is not None:
+        candidates = texts.join(F.broadcast(candidates), id_col)
     words = fulltext.lexemes(F.concat_ws(" ", *text_cols))
     parsed = fulltext.parse_query(" ".join(query_text.split()))
     if len(parsed.terms) == 1 and not parsed.excluded:
@@ -87,20 +92,22 @@ def acts_by_id(acts: DataFrame, celex: str) -> DataFrame:
     return acts.filter(F.upper("celex") == celex.strip().upper())
 
 
-def european(provisions: DataFrame, acts: DataFrame, query: str, k: int = 20) -> DataFrame:
+def european(provisions: DataFrame, acts: DataFrame, query: str, k: int = 20, index: DataFrame | None = None) -> DataFrame:
     """An act by its identifier, or provisions by full text (labels weigh A, texts B).
 
-    Provisions match on label and text together; equal ranks go by id.
+    Provisions match on label and text together; equal ranks go by id.  ``index``
+    are stored postings; without them they are made of all texts.  Texts and
+    acts are fetched for the ``k`` best only.
     """
     k = clamp_k(k, 20)
     if looks_like_celex(query):
         found = provisions.join(acts_by_id(acts, query), "celex").withColumn("score", F.lit(1.0))
         return found.orderBy(F.col("logical_path").asc_nulls_last(), "provision_id").limit(k)
-    parsed = fulltext.parse_query(query, "french")
-    rows = provisions.withColumn("__label", fulltext.lexemes(F.col("label"), "french")).withColumn("__text", fulltext.lexemes(F.col("text"), "french"))
-    rows = rows.filter(fulltext.matches(F.concat("__label", "__text"), parsed))
-    rows = rows.withColumn("score", fulltext.rank(parsed, (F.col("__label"), "A"), (F.col("__text"), "B"))).drop("__label", "__text")
-    return rows.join(acts, "celex").orderBy(F.desc("score"), "provision_id").limit(k)
+    ranked = search_index.found(search_index.postings(provisions) if index is None else index, fulltext.parse_query(query, "french"))
+    # Provisions without an act count for nothing, so they go before the limit; only identifiers take part in that.
+    known = provisions.select("provision_id", "celex").join(acts.select("celex").distinct(), "celex", "left_semi").select("provision_id")
+    best = ranked.join(known, "provision_id", "left_semi").orderBy(F.desc("score"), "provision_id").limit(k)
+    return provisions.join(F.broadcast(best), "provision_id").join(acts, "celex").orderBy(F.desc("score"), "provision_id")
 
 
 def act_view(acts: DataFrame, provisions: DataFrame, celex: str) -> tuple[DataFrame, DataFrame]:

@@ -11,14 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import celex as cx
 from .functions import dates, fulltext, ids, text, vectors
 from .functions import obligations as ob
 from .operators import dedup, merge, reports
-from .plans import european, measures, national, obligations, search
+from .plans import european, measures, national, obligations, search, search_index
 from .plans.obligation_store import audit, cascade_policy
 from .streaming.query_log import retained
 
@@ -77,7 +77,9 @@ SELECT id, round(v, 6) AS vector_score, round(x, 6) AS lexical_score, round(scor
 
 @query(HYBRID_SQL)
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    out = search.hybrid(versions(spark, d), query_vector(spark, d), "that", k=10, label=3)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    vectors_ = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label").join(docs.select("id"), "id", "left_semi")
+    out = search.hybrid(vectors_, query_vector(spark, d), "that", k=10, label=3, texts=docs)
     return out.select("id", *(F.round(c, 6).alias(c) for c in ("vector_score", "lexical_score", "score")))
 
 
@@ -467,16 +469,10 @@ WITH h AS (SELECT item_id, doc_id, strpos(d.text, b.text) AS place, b.text AS x,
 SELECT item_id, doc_id, CASE WHEN contains(substr(t, place + 1), x) THEN 'AMBIGUOUS' ELSE 'EXACT' END AS method, CASE WHEN NOT contains(substr(t, place + 1), x) THEN (place - 1)::INTEGER END AS span_start FROM h
 """)
 def citation_anchor(spark: SparkSession, d: str) -> DataFrame:
-    """Literal citations of a stated set of excerpts in all documents, in blocks of bounded size."""
+    """Literal citations of a set of excerpts in all documents."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("excerpt"))
-    blocks = -(-items.count() // 10_000) or 1
-    docs = table(spark, d, "documents")
-    pairs = None
-    for k in range(blocks):
-        block = F.broadcast(items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k))
-        found = docs.join(block, F.contains("text", "excerpt"))
-        pairs = found if pairs is None else pairs.union(found)
-    return pairs.select("item_id", "doc_id", ob.literal_anchor(F.col("text"), F.col("excerpt")).alias("a")).select("item_id", "doc_id", "a.method", "a.span_start")
+    found = obligations.cited_in(table(spark, d, "documents").select("doc_id", "text"), items, "doc_id", "item_id")
+    return found.select("item_id", "doc_id", "anchor.method", "anchor.span_start")
 
 
 @query("""
@@ -510,13 +506,51 @@ def fulltext_boolean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", fulltext.lexemes(F.col("text")).alias("w")).filter(fulltext.matches(F.col("w"), q)).select("doc_id")
 
 
-@query(None)
+PLACES_SQL = f"(SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM (SELECT doc_id, {LEXEMES_SQL} AS w FROM documents))"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(replace(replace(text, ' the ', ' nature '), ' and ', ' protection ')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+h AS (SELECT * FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM d) WHERE w IN ('nature', 'protection')),
+c AS (SELECT doc_id, w, p, lead(w) OVER o AS w2, lead(p) OVER o AS p2 FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+s AS (SELECT doc_id, sum(0.4 / (p2 - p)) AS score FROM c WHERE w2 <> w GROUP BY doc_id)
+SELECT doc_id::VARCHAR AS provision_id, source AS celex, round(score, 6) AS score FROM s JOIN documents USING (doc_id) ORDER BY s.score DESC, doc_id::VARCHAR LIMIT 20
+""")
 def european_search(spark: SparkSession, d: str) -> DataFrame:
-    """Cover-density rank over several terms; tests hold it against hand-computed ranks."""
-    docs = table(spark, d, "documents")
-    provisions = docs.select(F.col("doc_id").cast("string").alias("provision_id"), F.col("source").alias("celex"), F.col("lang").alias("label"), "text", F.lit(None).cast("string").alias("logical_path"))
-    acts = docs.select(F.col("source").alias("celex")).distinct().withColumn("title", F.col("celex"))
-    return search.european(provisions, acts, "that with", 20).select("provision_id", "celex", F.round("score", 6).alias("score"))
+    """Two terms in French full text, in place of frequent words: each span between neighbouring occurrences of the two counts by its length."""
+    said = F.replace(F.replace("text", F.lit(" the "), F.lit(" nature ")), F.lit(" and "), F.lit(" protection "))
+    provisions = provisions_of(spark, d, said)
+    acts = provisions.select("celex").distinct().withColumn("title", F.col("celex"))
+    return search.european(provisions, acts, "la protection de natures", 20).select("provision_id", "celex", F.round("score", 6).alias("score"))
+
+
+def provisions_of(spark: SparkSession, d: str, text_: Column | None = None) -> DataFrame:
+    return table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("provision_id"), F.col("source").alias("celex"), F.col("lang").alias("label"), (F.col("text") if text_ is None else text_).alias("text"), F.lit(None).cast("string").alias("logical_path")
+    )
+
+
+@query("""
+SELECT doc_id::VARCHAR AS provision_id, round(n * 0.4 / 3, 6) AS score FROM (SELECT doc_id, (length(text) - length(replace(text, ' the ', ''))) // 5 AS n FROM documents) WHERE n > 0
+""")
+def french_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """A phrase with stop words between its words, put in place of a frequent word."""
+    index = search_index.postings(provisions_of(spark, d, F.replace("text", F.lit(" the "), F.lit(" protection de la nature "))))
+    return search_index.found(index, fulltext.parse_query('"protection de la nature"', "french")).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT doc_id::VARCHAR AS provision_id, round(0.4 * count(*), 6)::DOUBLE AS score FROM {PLACES_SQL} WHERE w IN ('that', 'with') GROUP BY doc_id HAVING doc_id NOT IN (SELECT doc_id FROM {PLACES_SQL} WHERE w = 'und')")
+def fulltext_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    """Alternatives: every occurrence of either is a span of its own."""
+    index = search_index.postings(provisions_of(spark, d), "simple")
+    return search_index.found(index, fulltext.parse_query("that or with -und")).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT w AS lexeme, count(DISTINCT doc_id) AS provisions, count(*) AS places, sum(p)::BIGINT AS positions FROM (SELECT doc_id, w, p + 1 AS p FROM {PLACES_SQL} UNION ALL SELECT doc_id, lang, 1 FROM documents WHERE lang IS NOT NULL) GROUP BY w")
+def search_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Labels stand before texts."""
+    index = search_index.postings(provisions_of(spark, d), "simple").select("lexeme", "provision_id", F.explode("places").alias("p"))
+    return index.groupBy("lexeme").agg(F.count_distinct("provision_id").alias("provisions"), F.count("*").alias("places"), F.sum("p.pos").cast("long").alias("positions"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE upper(p_brand) = upper('brand#12') ORDER BY p_name NULLS LAST, p_partkey LIMIT 50")

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from jurisloom.functions import celex as cx
-from jurisloom.functions import dates, fulltext, ids, text, vectors
+from jurisloom.functions import dates, french, fulltext, ids, text, vectors
 from jurisloom.functions import obligations as ob
-from jurisloom.plans import obligations, search
+from jurisloom.plans import obligations, search, search_index
 
 
 def one(spark, value, kind, fn):
@@ -98,12 +98,60 @@ def test_query_syntax():
 
 def test_cover_density():
     d = lambda *p: [(k, w, 0.1) for k, w in p]
-    assert fulltext.cover_density(d((1, "a"), (5, "a"), (9, "a")), ("a",)) == pytest.approx(0.3)
-    assert fulltext.cover_density(d((1, "a"), (2, "b")), ("a", "b")) == pytest.approx(0.1)
-    assert fulltext.cover_density(d((1, "a"), (4, "b")), ("a", "b")) == pytest.approx(0.1 / 3)
-    assert fulltext.cover_density(d((1, "a"), (4, "b"), (5, "a")), ("a", "b")) == pytest.approx(0.1 / 3 + 0.1)
-    assert fulltext.cover_density(d((1, "a"), (2, "a")), ("a", "b")) == 0
-    assert fulltext.cover_density([(1, "a", 1.0), (2, "b", 0.4)], ("a", "b")) == pytest.approx(2 / (1 + 2.5))
+    rank = lambda places, query: fulltext.cover_density(places, fulltext.parse_query(query))
+    assert rank(d((1, "a"), (5, "a"), (9, "a")), "a") == pytest.approx(0.3)
+    assert rank(d((1, "a"), (2, "b")), "a b") == pytest.approx(0.1)
+    assert rank(d((1, "a"), (4, "b")), "a b") == pytest.approx(0.1 / 3)
+    assert rank(d((1, "a"), (4, "b"), (5, "a")), "a b") == pytest.approx(0.1 / 3 + 0.1)
+    assert rank(d((1, "a"), (2, "a")), "a b") == 0
+    assert rank([(1, "a", 1.0), (2, "b", 0.4)], "a b") == pytest.approx(2 / (1 + 2.5))
+    # Alternatives: all spans of either count.
+    assert rank(d((1, "a"), (5, "c"), (7, "a")), "a or c") == pytest.approx(0.3)
+    assert rank(d((1, "a"), (2, "b"), (9, "c")), "a b or c") == pytest.approx(0.2)
+    # A phrase is satisfied only at its distance.
+    assert rank(d((1, "a"), (3, "b"), (4, "a"), (5, "b")), '"a b"') == pytest.approx(0.1)
+
+
+# Words of the published vocabulary of the stemmer, with their stems.
+STEMS = """continu continu continua continu continuait continu continuant continu continuation continu continue continu continué continu continuel continuel continuelle continuel
+continuellement continuel continuelles continuel continuels continuel continuer continu continuera continu continuerait continu continueront continu continuez continu continuité continu
+continuons continuon contorsions contors contour contour contournait contourn contournant contourn contourne contourn contours contour contractait contract contracté contract
+contractée contract contracter contract contractés contract contractions contract contradictoirement contradictoir contradictoires contradictoir contraindre contraindr contraint contraint
+contrainte contraint contraintes contraint contraire contrair contraires contrair contraria contrari main main mains main maintenaient mainten maintenait mainten maintenant mainten
+maintenir mainten maintenue maintenu maintien maintien maintint maintint maire mair maires mair mairie mair maïs maï maison maison maisons maison maître maîtr maîtres maîtr
+maîtresse maîtress maîtresses maîtress majesté majest majestueuse majestu majestueusement majestu majestueux majestu majeur majeur majeure majeur major major majordome majordom
+majordomes majordom majorité major majorités major mal mal malade malad malades malad maladie malad maladies malad maladive malad""".split()
+
+
+def test_stems():
+    pairs = dict(zip(STEMS[::2], STEMS[1::2], strict=True))
+    assert {w: french.stem(w) for w in pairs} == pairs
+    assert french.lexeme("des") == "" and french.lexeme("objet") == "objet"
+
+
+def test_french_search(spark, tmp_path):
+    texts = ["La protection de la nature est un objet.", "protection et nature", "Protections de ces natures", "nature de la protection", None]
+    rows = spark.createDataFrame([(str(k), "Titre", t) for k, t in enumerate(texts)], "provision_id string, label string, text string")
+    index = search_index.SearchIndex(spark, str(tmp_path / "index"))
+    index.build(rows)
+    ids = lambda q: sorted(r[0] for r in search_index.found(index.read(), fulltext.parse_query(q, "french")).collect())
+    assert ids('"protection de la nature"') == ["0", "2"] and ids("objet") == ["0"] and ids("protection nature") == ["0", "1", "2", "3"]
+    assert ids("protection -objets") == ["1", "2", "3"] and ids("titre objets") == ["0"] and ids("de") == []
+    index.refresh(spark.createDataFrame([("1", "Titre", "autre chose")], rows.schema))
+    assert ids("protection") == ["0", "2", "3"] and ids("choses") == ["1"]
+    words = rows.select("provision_id", fulltext.lexemes(F.col("text"), "french").alias("w"))
+    hit = lambda q: sorted(r[0] for r in words.filter(fulltext.matches(F.col("w"), fulltext.parse_query(q, "french"))).collect())
+    assert hit('"protection de la nature"') == ["0", "2"] and hit("objet") == ["0"]
+
+
+def test_citations_of_any_length(spark):
+    texts = ["abcdefghijklmnopqrstuvwxyz0123456789", "xyz abcabc", "", None, "0123456789" * 5]
+    excerpts = ["mnopqrstuvwxyz0123456789", "abc", "a", "fghijkl", "0123456789012345678901234", "absent text that is long enough", "", None, "9"]
+    t = spark.createDataFrame(list(enumerate(texts)), "t int, text string")
+    e = spark.createDataFrame(list(enumerate(excerpts)), "e int, excerpt string")
+    got = {(r["t"], r["e"]): r["anchor"]["method"] for r in obligations.cited_in(t, e, "t", "e").collect()}
+    want = {(i, j): "AMBIGUOUS" if x.find(y, x.find(y) + 1) >= 0 else "EXACT" for i, x in enumerate(texts) for j, y in enumerate(excerpts) if x and y and y in x}
+    assert got == want and len(got) > 6
 
 
 def test_european_search_ranks_labels_higher(spark):
