@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .text import tokens
 
@@ -25,13 +26,54 @@ OTHER_MODALITY = 0.75
 MOST_CHARS, MOST_CANDIDATES = 12_000, 100
 
 
-#: A text cut without a rest: sentences with their end mark, and every other character alone.
-PIECES = r"[^.!?\n]+(?:[.!?]|$)|[\s\S]"
+MARKS = re.compile(r"[.!?\n]")
+CUED = ArrayType(
+    StructType(
+        [StructField(c, StringType()) for c in ("excerpt", "cue", "action")] + [StructField(c, IntegerType()) for c in ("span_start", "span_end")]
+    )
+)
 
 
 def cue_pattern(cues: tuple[str, ...] = CUES) -> str:
-    """A cue as a whole phrase in any case, as the first group."""
-    return r"(?iu)(?<![\p{L}\p{N}_])(" + "|".join(re.escape(c) for c in sorted(cues, key=len, reverse=True)) + r")(?![\p{L}\p{N}_])"
+    """A cue as a whole phrase in any case, for both pattern languages."""
+    return r"(?<![\w])(?:" + "|".join(re.escape(c) for c in sorted(cues, key=len, reverse=True)) + r")(?![\w])"
+
+
+def cued_sentences(text: str, pattern: re.Pattern[str]) -> list[tuple[str, str, str, int, int]]:
+    """``excerpt, cue, action, span_start, span_end`` of every sentence with a cue and something after it.
+
+    Goes from cue to cue, looking up the marks around it.  A sentence ends with its
+    mark or the end of the text; a line that just breaks off isn't one.  Its first cue counts.
+    """
+    out: list[tuple[str, str, str, int, int]] = []
+    marks = [m.start() for m in MARKS.finditer(text)]
+    before = -1
+    for cue in pattern.finditer(text):
+        k = bisect_left(marks, cue.start())
+        begin = marks[k - 1] + 1 if k else 0
+        if begin == before:
+            continue
+        before, stop = begin, marks[k] if k < len(marks) else len(text)
+        if text[stop : stop + 1] == "\n" and stop < len(text) - 1:
+            continue
+        sentence = text[begin : stop + (text[stop : stop + 1] in (".", "!", "?"))]
+        start, excerpt = begin + len(sentence) - len(sentence.lstrip()), sentence.strip()
+        action = excerpt[cue.end() - start :].strip(" :;,")
+        if action:
+            out.append((excerpt, cue[0].lower(), action, start, start + len(excerpt)))
+    return out
+
+
+def with_cues(text: Column, cues: tuple[str, ...] = CUES) -> Column:
+    """Array of a text's sentences with a cue.  Vectorised; call it on texts that have one."""
+    pattern = cue_pattern(cues)
+
+    @F.pandas_udf(CUED)
+    def run(texts: pd.Series) -> pd.Series:
+        found = re.compile(pattern, re.IGNORECASE)
+        return texts.map(lambda t: [] if t is None else cued_sentences(t, found))
+
+    return run(text)
 
 
 def modality_of(cue: Column, prohibiting: tuple[str, ...] = PROHIBITING) -> Column:
