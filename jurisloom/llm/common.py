@@ -31,11 +31,13 @@ atexit.register(_clean_local)
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (unit tests, a laptop) is a folder of
-    this machine used; on a cluster the setting must exist.
+    Only a session on this machine alone (unit tests, a laptop) may do without
+    and gets a folder of this machine; on a cluster a missing setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="jurisloom-")
         _LOCAL.append(root.removeprefix("file://"))
         spark.conf.set("spark.checkpoint.dir", root)
@@ -82,14 +84,25 @@ def map_arrow(
     freed memory back, as idle workers live on beside the executor's own work.
     """
     limit_batches(df.sparkSession)
+    kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    names, out_names = df.columns, kind.names
+    # Names with a dot can't be passed as they are, so columns go by number there.
+    odd = any(re.search("[.`]", c) for c in (*names, *out_names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from fn(batches)
+            if odd:
+                for batch in fn(b.rename_columns(names) for b in batches):
+                    yield batch.select([batch.schema.names.index(c) for c in out_names]).rename_columns([f"c{k}" for k in range(len(out_names))])
+            else:
+                yield from fn(batches)
         finally:
             release_memory()
 
-    return df.mapInArrow(run, schema)
+    if not odd:
+        return df.mapInArrow(run, kind)
+    numbered = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(kind)])
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, numbered).toDF(*out_names)
 
 
 def limit_batches(spark: SparkSession) -> None:

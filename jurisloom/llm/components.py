@@ -26,17 +26,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
     e = materialise(e, "edges")
     before = None
+
+    def drop(*tables: DataFrame) -> None:
+        for table in tables:
+            if files := table.inputFiles():
+                drop_path(spark, files[0].rsplit("/", 1)[0])
+
     for _ in range(MOST_ROUNDS):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.filter("u != v").distinct(), "large-star")
         low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         linked = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = materialise(linked.union(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "small-star")
         now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        for old in (e, large):
-            drop_path(spark, old.inputFiles()[0].rsplit("/", 1)[0]) if old.inputFiles() else None
+        drop(e, large, least, low)
         e = small
         if tuple(now) == before:
             break

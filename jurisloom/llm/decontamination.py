@@ -206,7 +206,11 @@ def containment_hits(
 
 
 def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, short_inside: bool = False) -> DataFrame:
-    """``df`` without the rows that contain an item (see ``containment_hits``); rows and columns stay as they are.  Narrow."""
+    """``df`` without the rows that contain an item (see ``containment_hits``).  Narrow.
+
+    Other rows stay as they are, repeated ones too, with all columns whatever their
+    names; null and empty texts contain nothing and stay; an empty table of either kind drops nothing.
+    """
     spark = df.sparkSession
     for index in _blocks(items, item_col, item_text_col, threshold):
         shared = spark.sparkContext.broadcast(index)
@@ -223,5 +227,6 @@ def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in all documents."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return containment_hits(documents(spark, sf_dir, "doc_id", "text"), items, short_inside=True)

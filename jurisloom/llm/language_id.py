@@ -26,6 +26,8 @@ from .common import documents, extended, id_crc, map_arrow, slices
 #: Cells of the whole model: languages times cells of a language never exceed it (64 MB).
 MODEL_CELLS = 1 << 24
 MOST_BITS = 16
+#: Languages that the driver lists (there are some 8,000 in the world); more is an error, none is dropped.
+MOST_LANGUAGES = 1 << 14
 SMOOTHING = 0.5
 #: A fit has settled when a step adds no more than this to a text's log-likelihood.
 SETTLED = 1e-3
@@ -74,7 +76,9 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
     """
     labelled = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     labelled = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    langs = sorted(r[0] for r in labelled.select("lang").distinct().collect())
+    langs = sorted(r[0] for r in labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different values: {lang_col} holds no languages")
     if not langs:
         return [], np.empty((0, 0), np.float32), 0
     bits = min(MOST_BITS, int(np.log2(MODEL_CELLS // len(langs))))
@@ -226,6 +230,7 @@ def learned_part(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from four in five."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     langs, model, bits = train(learned_part(docs))
     found = predict(docs.select("doc_id", "text"), langs, model, bits)

@@ -359,6 +359,7 @@ def scan_licenses(df: DataFrame, text_col: str = "text", words_col: str = "n_wor
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License detections in all documents, as digest columns."""
     found = scan_licenses(documents(spark, sf_dir, "doc_id", "text")).drop("text")
     base = F.filter("detections", lambda d: d["base"])
     names = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda d: d["label"]))), ",")

@@ -281,7 +281,9 @@ def score(df: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str
     ``mark`` is a column of ``df`` that is passed through.  ``learn`` are the rows
     to learn from.  Null texts are empty ones: one end token, one end symbol.
     Repeated rows are scored (and learned) one by one; with nothing to learn
-    all symbols are alike and ``base_score`` has N = V = 0.
+    all symbols are alike and ``base_score`` has N = V = 0.  Long texts are scored as
+    a whole; an empty table gives an empty table; ids are whole numbers or cast to
+    such, and columns other than these are left out.
     """
     spark = df.sparkSession
     word, gram = gather(learn, text_col)
@@ -375,5 +377,6 @@ def score(df: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of four in five."""
     docs = documents(spark, sf_dir, "doc_id", "text").withColumn("held_out", id_crc("doc_id") % 5 == 1)
     return score(docs, docs.filter("not held_out"))

@@ -36,9 +36,9 @@ RECALL = 0.9999
 HASHES = 80
 #: Texts, and shingles, of a block in verification, about.
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1 << 20
-#: Bits of the candidate bitmap (2 MB), in rows of 32768.
-BITMAP_BITS = 1 << 24
-BITMAP_ROW = 32_768
+#: Bits of a candidate bitmap at least (2 MB) and at most (32 MB), in rows of 32768; bits for each candidate up to that.
+BITMAP_BITS, MOST_BITMAP_BITS = 1 << 24, 1 << 28
+BITMAP_ROW, BITS_EACH = 32_768, 16
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -101,20 +101,26 @@ def set_key(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def bitmap_of(ids: Column, df: DataFrame) -> DataFrame:
-    """A bitmap of hashed values as at most ``BITMAP_BITS / BITMAP_ROW`` rows of 4 KB."""
-    at = F.pmod(ids, F.lit(BITMAP_BITS))
+def bitmap_bits(n: int) -> int:
+    """Bits of a bitmap for ``n`` candidates: a power of two between the bounds."""
+    return max(BITMAP_BITS, min(MOST_BITMAP_BITS, 1 << max(1, n * BITS_EACH - 1).bit_length()))
+
+
+def bitmap_of(ids: Column, df: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+    """A bitmap of hashed values as at most ``bits / BITMAP_ROW`` rows of 4 KB."""
+    at = F.pmod(ids, F.lit(bits))
     return df.groupBy((at / BITMAP_ROW).cast("int").alias("bitmap_row")).agg(
         F.bitmap_construct_agg((at % BITMAP_ROW).cast("long")).alias("bitmap")
     )
 
 
-def maybe_in(df: DataFrame, ids: Column, bitmap: DataFrame) -> DataFrame:
+def maybe_in(df: DataFrame, ids: Column, bitmap: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
     """``df`` with ``__maybe``: false where the hashed value surely isn't in the bitmap.
 
-    The bitmap is broadcast: 2 MB whatever the input.
+    The bitmap is broadcast: 2 to 32 MB whatever the input.  With more candidates than
+    that serves, more rows are ``maybe`` and go through the join that follows.
     """
-    at = F.pmod(ids, F.lit(BITMAP_BITS))
+    at = F.pmod(ids, F.lit(bits))
     out = df.withColumn("__at", at).join(F.broadcast(bitmap), (F.col("__at") / BITMAP_ROW).cast("int") == F.col("bitmap_row"), "left")
     bit = F.col("__at") % BITMAP_ROW
     byte = F.conv(F.hex(F.expr("substring(bitmap, cast((__at % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
@@ -215,6 +221,7 @@ def similarity_classes(
     included, ``n_text_links`` the number of other shingle sets.  Texts without
     a word (null, empty) are linked to nothing and a class of their own each.
     Repeated rows are copies of each other.  An empty table gives an empty table.
+    Ids are whole numbers or cast to such; other columns are left out.
     """
     bands, rows = choose_bands(threshold, recall)
     docs = materialise(signatures(df, id_col, text_col, bands, rows), "signatures")
@@ -232,9 +239,10 @@ def similarity_classes(
         members.join(size, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "blocks"
     )
 
-    bitmap = materialise(bitmap_of(F.xxhash64("first_id"), members), "bitmap")
+    bits = bitmap_bits(members.count())
+    bitmap = materialise(bitmap_of(F.xxhash64("first_id"), members, bits), "bitmap")
     again = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    again = maybe_in(again, F.xxhash64("id"), bitmap).filter("__maybe").drop("__maybe")
+    again = maybe_in(again, F.xxhash64("id"), bitmap, bits).filter("__maybe").drop("__maybe")
     found = members.join(again, F.col("first_id").eqNullSafe(F.col("id")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = found.select("root", "node", "copies", "block", "text", other.alias("other"))
@@ -273,7 +281,8 @@ def similarity_classes(
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with one row of each class: that of the smallest id (then of the text's hash).
 
-    Rows without a word all stay.  Most rows never move: a bitmap tells which
+    Rows without a word all stay, columns and their names too, an empty table stays
+    empty; of repeated rows one stays.  Most rows never move: a bitmap tells which
     may have to go, and only those meet the list of rows to drop.
     """
     rows = materialise(similarity_classes(df, id_col, text_col, threshold), "classes")
@@ -281,16 +290,18 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     first = grouped.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first"))
     marked = grouped.join(materialise(first, "class-first"), "class").withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash")))
     special = materialise(marked.filter("not stays or times > 1").select("id", "text_hash", "stays"), "dropped")
-    bitmap = materialise(bitmap_of(F.xxhash64("id", "text_hash"), special), "dropped-bitmap")
-    keyed = df.withColumn("__id", F.col(id_col).cast("long")).withColumn("__hash", F.xxhash64(text_col))
-    keyed = maybe_in(keyed, F.xxhash64("__id", "__hash"), bitmap)
-    clear = keyed.filter("not __maybe").select(*df.columns)
-    asked = keyed.filter("__maybe").join(special, F.col("__id").eqNullSafe(special["id"]) & (F.col("__hash") == special["text_hash"]), "left")
-    asked = asked.drop(special["id"]).drop(special["text_hash"])
-    single = asked.filter("stays is null").select(*df.columns)
-    repeated = asked.filter("stays").dropDuplicates(["__id", "__hash"]).select(*df.columns)
-    return clear.unionByName(single).unionByName(repeated)
+    bits = bitmap_bits(special.count())
+    bitmap = materialise(bitmap_of(F.xxhash64("id", "text_hash"), special, bits), "dropped-bitmap")
+    # A row goes as one value, so its columns may have any names.
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    keyed = df.select(row, F.col(f"`{id_col}`").cast("long").alias("own_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("own_hash"))
+    keyed = maybe_in(keyed, F.xxhash64("own_id", "own_hash"), bitmap, bits)
+    asked = keyed.filter("__maybe").join(special, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")), "left")
+    repeated = asked.filter("stays").dropDuplicates(["own_id", "own_hash"])
+    kept = [part.select("row") for part in (keyed.filter("not __maybe"), asked.filter("stays is null"), repeated)]
+    return kept[0].union(kept[1]).union(kept[2]).select("row.*")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near copies among all documents, and how many each is linked to."""
     return similarity_classes(documents(spark, sf_dir, "doc_id", "text")).select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_text_links")

@@ -49,6 +49,7 @@ def count_tokens(
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents."""
     import public_tokenizers
 
     docs = documents(spark, sf_dir, "doc_id", "text")

@@ -229,7 +229,11 @@ def read_archives(files: DataFrame, chunk_bytes: int = CHUNK_BYTES, payload: boo
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", directory: str | None = None) -> DataFrame:
-    """Write ``pages`` as archives (once) and give their files."""
+    """Write ``pages`` as archives (once) and give their files.
+
+    Null payloads and addresses are empty ones, repeated rows are all written, ids
+    are whole numbers or cast to such, other columns are left out; no page, no file.
+    """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     records = classify(rows, "id").drop("html")
@@ -237,6 +241,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as archives, read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     rows = read_archives(archive(pages), payload=False).filter("last")
     full = F.col("record_type") == "response"

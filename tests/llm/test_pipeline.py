@@ -67,3 +67,26 @@ def test_stage_names_and_empty_input(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, DIR)
         assert docs.count() == 0
+
+
+def test_stages_over_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, columns that are called like the stages' own."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    names = ["row", "id", "bucket", "size", "copies", "q", "bin", "key", "bands", "class", "__maybe", "lang_pred", "score", "a.b"]
+    rows = [(9001, None, None, None, None), (None, "words and more words of a text without an id", "en", "src0", 44), (9002, "", "en", None, 0), (9003, "the words of the land are long and the " * 9000, "en", "src1", 1)]
+    rows += [(9004, "a text that is there twice, with its id and all that it has of columns", "en", "src0", 7)] * 2 + [(9005, "tie one of the same size", "en", "src9", 1), (9005, "tie two of the same size", "en", "src9", 1)]
+    odd = docs.limit(60).unionByName(spark.createDataFrame(rows, docs.schema))
+    odd = odd.select("*", *(mx.F.when(mx.F.col("doc_id") % 2 == 0, mx.F.lit(n)).alias(n) for n in names))
+    now = odd
+    for name, stage in cp.STAGES[:4]:
+        now = stage(spark, now, DIR)
+        assert now.columns == odd.columns, name
+        got = now.collect()
+        assert all(r[n] == (n if r["doc_id"] is not None and r["doc_id"] % 2 == 0 else None) for r in got for n in names), name
+        ids = [r["doc_id"] for r in got]
+        if name == "language_id":
+            assert None in ids and 9003 in ids and 9001 not in ids and 9002 not in ids and ids.count(9004) == 2 and ids.count(9005) == 2
+        if name in ("jaccard_join", "decontamination"):
+            assert None in ids and 9003 in ids and ids.count(9004) == 1 and ids.count(9005) == 2
+    out = cp.STAGES[4][1](spark, now, DIR)
+    assert sorted(r["doc_id"] or -1 for r in out.collect()) == sorted(r["doc_id"] or -1 for r in got)
