@@ -26,9 +26,6 @@ EXCLUDED_STATES = ("ABROGE",)
 SPACE = uuid.UUID(NAMESPACE)
 #: Bytes of a file in which an article's root tag must start.
 HEAD_BYTES = 2048
-LINK_FIELDS = {"cible_source_id": "id", "cible_texte_source_id": "cidtexte", "cible_numero": "num", "cible_nature_texte": "naturetexte", "cible_numero_texte": "numtexte", "cible_nor_texte": "nortexte"}
-
-
 def _name(kind: str, source: str) -> str:
     return str(uuid.uuid5(SPACE, f"LEGI:{kind}:{source}"))
 
@@ -38,10 +35,6 @@ def _text(node: ElementTree.Element | None, path: str | None = None) -> str:
     return (node.text or "").strip() if node is not None else ""
 
 
-def _attribute(node: ElementTree.Element | None, name: str) -> str | None:
-    return ((node.get(name) or "").strip() or None) if node is not None else None
-
-
 def parse_date(value: str | None) -> date | None:
     value = (value or "").strip()
     if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", value) or value.startswith("2999-"):
@@ -87,73 +80,124 @@ def _titles(context: ElementTree.Element) -> list[dict]:
     return [{"id": i, "titre": t, "debut": x.get("debut"), "fin": x.get("fin"), "niveau": n} for x, t, i, n in found if t]
 
 
+def _filled(x: str | None) -> str | None:
+    return (x or "").strip() or None
+
+
+def _upper(x: str | None) -> str | None:
+    return (_filled(x) or "").upper() or None
+
+
+def _whole(x: str | None) -> int | None:
+    return int(x.strip()) if x and re.fullmatch(r"[+-]?\d{1,9}", x.strip()) else None
+
+
+def _plain(x: str | None) -> str:
+    return (x or "").strip()
+
+
+def _as_is(x: str | None) -> str | None:
+    return x
+
+
+# Where an article's file keeps things.
+NODES = {"common": "META/META_COMMUN", "meta": "META/META_SPEC/META_ARTICLE", "context": "CONTEXTE/TEXTE", "head": "CONTEXTE/TEXTE/TITRE_TXT"}
+BODY, NOTE, HISTORY, LINKS = "BLOC_TEXTUEL/CONTENU", "NOTA/CONTENU", "VERSIONS/VERSION/LIEN_ART", "LIENS/LIEN"
+# Columns by table, each from an element below a node or an attribute (@) of it, and how it is read.
+COLUMNS = {
+    "texte": {
+        "type": ("context", "@nature", _upper), "numero": ("context", "@num", _filled), "nor": ("context", "@nor", _filled), "autorite": ("context", "@autorite", _filled),
+        "ministere": ("context", "@ministere", _filled), "date_signature": ("context", "@date_signature", parse_date), "date_publication": ("context", "@date_publi", parse_date),
+    },
+    "unite": {"numero": ("meta", "NUM", _filled), "ordre": ("meta", "INT_ORDRE", _whole)},
+    "version": {"etat": ("meta", "ETAT", _upper), "date_debut": ("meta", "DATE_DEBUT", parse_date), "date_fin": ("meta", "DATE_FIN", parse_date)},
+}
+# What goes to a table's metadata, in the same way.
+METADATA = {
+    "texte": {"titre_id": ("head", "@id_txt", _as_is), "titre_debut": ("head", "@debut", _as_is), "titre_fin": ("head", "@fin", _as_is)},
+    "unite": {
+        "origine": ("common", "ORIGINE", _plain), "nature": ("common", "NATURE", _plain), "ancien_id": ("common", "ANCIEN_ID", _plain), "url": ("common", "URL", _plain), "type_article": ("meta", "TYPE", _plain),
+    },
+    "version": {"type_article": ("meta", "TYPE", _plain), "url": ("common", "URL", _plain)},
+}
+# Attributes of a link by column.
+LINK_COLUMNS = {
+    "cible_source_id": ("id", _filled), "cible_texte_source_id": ("cidtexte", _filled), "cible_numero": ("num", _filled), "cible_nature_texte": ("naturetexte", _filled),
+    "cible_numero_texte": ("numtexte", _filled), "cible_nor_texte": ("nortexte", _filled), "date_signature_texte": ("datesignatexte", parse_date),
+}
+
+
+class _Article:
+    """One article's file: its nodes, and rows read by the tables above."""
+
+    def __init__(self, content: bytes) -> None:
+        self.root = ElementTree.fromstring(content)
+        self.nodes = {name: self.root.find(path) for name, path in NODES.items()}
+        self.id = self.value("common", "ID", _plain)
+        self.state = self.value("meta", "ETAT", _upper)
+        self.body = visible(self.root.find(BODY))
+
+    def value(self, node: str, what: str, read: Callable):
+        at = self.nodes[node]
+        if at is None:
+            return read(None)
+        return read(at.get(what[1:]) if what.startswith("@") else at.findtext(what))
+
+    def row(self, table: str, **more: object) -> dict:
+        meta = {k: self.value(*spec) for k, spec in METADATA[table].items()}
+        return more | {k: self.value(*spec) for k, spec in COLUMNS[table].items()} | {"metadata": meta | more.get("metadata", {})}
+
+    def problem(self, excluded: tuple[str, ...]) -> str | None:
+        """Why the article is left out: the first of these that holds."""
+        checks = {
+            "OTHER_ROOT": self.root.tag.rpartition("}")[2].upper() != "ARTICLE",
+            "NO_META": self.nodes["common"] is None or self.nodes["meta"] is None,
+            "NO_ID": not self.id,
+            "EXCLUDED_STATE": self.state in excluded,
+            "EMPTY_CONTENT": not self.body,
+            "NO_CONTEXT": self.nodes["context"] is None,
+        }
+        return next((why for why, holds in checks.items() if holds), None)
+
+    def history(self) -> list[tuple[str, str]]:
+        """Begin and id of the article's versions as far as they have one, in the file's order."""
+        found = [(_plain(x.get("debut") or "9999-12-31"), _plain(x.get("id"))) for x in self.root.iterfind(HISTORY)]
+        return [(begin, i) for begin, i in found if i]
+
+    def relations(self, unit: str) -> Iterator[dict]:
+        for position, link in enumerate(self.root.iterfind(LINKS)):
+            row = {c: read(link.get(name)) for c, (name, read) in LINK_COLUMNS.items()}
+            row |= {
+                "version_source_id": self.id, "source_unite_id": unit, "type_relation": _upper(link.get("typelien")) or "INCONNU", "sens": (_filled(link.get("sens")) or "").lower() or None,
+                "libelle": " ".join("".join(link.itertext()).split()) or None, "metadata": {},
+            }
+            identity = (self.id, str(position), *(row[c] for c in ("type_relation", "sens", "cible_source_id", "cible_texte_source_id", "libelle")))
+            yield row | {"id": _name("relation", "|".join(x or "" for x in identity))}
+
+
 def parse_article(content: bytes, archive: str, path: str, excluded: tuple[str, ...] = EXCLUDED_STATES) -> dict:
     """An article's text, unit, version and relations, or why it was left out."""
-    reject = lambda why: {"reject_reason": why, "texte": None, "unite": None, "version": None, "relations": []}
     try:
-        root = ElementTree.fromstring(content)
+        a = _Article(content)
+        why = a.problem(excluded)
     except ElementTree.ParseError:
-        return reject("UNPARSEABLE")
-    if root.tag.rpartition("}")[2].upper() != "ARTICLE":
-        return reject("OTHER_ROOT")
-    common, meta = root.find("META/META_COMMUN"), root.find("META/META_SPEC/META_ARTICLE")
-    if common is None or meta is None:
-        return reject("NO_META")
-    article_id = _text(common, "ID")
-    if not article_id:
-        return reject("NO_ID")
-    state = _text(meta, "ETAT").upper()
-    if state in excluded:
-        return reject("EXCLUDED_STATE")
-    body = visible(root.find("BLOC_TEXTUEL/CONTENU"))
-    if not body:
-        return reject("EMPTY_CONTENT")
-    context = root.find("CONTEXTE/TEXTE")
-    if context is None:
-        return reject("NO_CONTEXT")
-    text_source = _attribute(context, "cid") or f"UNKNOWN:{article_id}"
-    links = [((x.get("debut") or "9999-12-31").strip(), (x.get("id") or "").strip()) for x in root.findall("VERSIONS/VERSION/LIEN_ART")]
-    links = [(d, i) for d, i in links if i]
-    unit_source = min(links)[1] if links else article_id
-    head = context.find("TITRE_TXT")
-    title = (head.get("c_titre_court") or _text(head)).strip() if head is not None else ""
-    order = _text(meta, "INT_ORDRE")
-    text_id, unit_id = _name("texte", text_source), _name("unite", unit_source)
-    relations = []
-    for position, link in enumerate(root.findall("LIENS/LIEN")):
-        kind = (link.get("typelien") or "INCONNU").strip().upper()
-        way = (link.get("sens") or "").strip().lower() or None
-        label = " ".join("".join(link.itertext()).split()) or None
-        fields = {c: _attribute(link, a) for c, a in LINK_FIELDS.items()}
-        parts = (article_id, str(position), kind, way, fields["cible_source_id"], fields["cible_texte_source_id"], label)
-        relations.append(
-            {"id": _name("relation", "|".join(x or "" for x in parts)), "version_source_id": article_id, "source_unite_id": unit_id, "type_relation": kind, "sens": way,
-             "date_signature_texte": parse_date(link.get("datesignatexte")), "libelle": label, "metadata": {}} | fields
-        )
-    return {
-        "reject_reason": None,
-        "texte": {
-            "id": text_id, "source_id": text_source, "type": (_attribute(context, "nature") or "").upper() or None, "titre": title or None,
-            "numero": _attribute(context, "num"), "nor": _attribute(context, "nor"), "autorite": _attribute(context, "autorite"), "ministere": _attribute(context, "ministere"),
-            "date_signature": parse_date(context.get("date_signature")), "date_publication": parse_date(context.get("date_publi")),
-            "metadata": {"titre_id": head.get("id_txt"), "titre_debut": head.get("debut"), "titre_fin": head.get("fin")} if head is not None else {"titre_id": None, "titre_debut": None, "titre_fin": None},
-        },
-        "unite": {
-            "id": unit_id, "texte_id": text_id, "source_id": unit_source, "type": "ARTICLE", "numero": _text(meta, "NUM") or None,
-            "ordre": int(order) if re.fullmatch(r"[+-]?\d{1,9}", order) else None, "chemin": _titles(context),
-            "metadata": {
-                "origine": _text(common, "ORIGINE"), "nature": _text(common, "NATURE"), "ancien_id": _text(common, "ANCIEN_ID"), "url": _text(common, "URL"),
-                "type_article": _text(meta, "TYPE"), "version_ids": json.dumps([(x.get("id") or "").strip() for x in root.findall("VERSIONS/VERSION/LIEN_ART") if (x.get("id") or "").strip()]),
-            },
-        },
+        why = "UNPARSEABLE"
+    if why:
+        return {"reject_reason": why, "texte": None, "unite": None, "version": None, "relations": []}
+    history = a.history()
+    keys = {"texte": a.value("context", "@cid", _filled) or f"UNKNOWN:{a.id}", "unite": min(history)[1] if history else a.id, "version": a.id}
+    ids = {table: _name(table, key) for table, key in keys.items()}
+    title = a.value("head", "@c_titre_court", _as_is) or _text(a.nodes["head"])
+    own = {
+        "texte": {"titre": _filled(title)},
+        "unite": {"texte_id": ids["texte"], "type": "ARTICLE", "chemin": _titles(a.nodes["context"]), "metadata": {"version_ids": json.dumps([i for _, i in history])}},
         "version": {
-            "id": _name("version", article_id), "unite_id": unit_id, "source_id": article_id, "etat": state or None,
-            "date_debut": parse_date(_text(meta, "DATE_DEBUT")), "date_fin": parse_date(_text(meta, "DATE_FIN")), "contenu": body,
-            "nota": visible(root.find("NOTA/CONTENU")) or None, "checksum_sha256": hashlib.sha256(body.encode()).hexdigest(),
-            "source_archive": archive, "source_path": path, "metadata": {"type_article": _text(meta, "TYPE"), "url": _text(common, "URL")},
+            "unite_id": ids["unite"], "contenu": a.body, "nota": visible(a.root.find(NOTE)) or None, "checksum_sha256": hashlib.sha256(a.body.encode()).hexdigest(),
+            "source_archive": archive, "source_path": path,
         },
-        "relations": relations,
     }
+    rows = {table: a.row(table, id=ids[table], source_id=keys[table], **own[table]) for table in own}
+    return {"reject_reason": None, "relations": list(a.relations(ids["unite"]))} | rows
 
 
 def parsed(files: DataFrame, excluded: tuple[str, ...] = EXCLUDED_STATES) -> DataFrame:
