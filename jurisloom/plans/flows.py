@@ -139,6 +139,21 @@ def build_european(spark: SparkSession, zip_path: str, root: str, remote: DataFr
     return out | {"identity": identity, "relations": normal["relations"]}
 
 
+def discover_measures(spark: SparkSession, identity: DataFrame, root: str, transport_factory: Callable, batch: int = 50) -> dict[str, DataFrame]:
+    """Ask an endpoint for the national measures of the resolved directives; keys that failed are written too.
+
+    Answers are kept under ``root/cache``: a run that stopped goes on from there.
+    """
+    asked = measures.directives(identity)
+    answers = look_up(asked, "celex", transport_factory, batch, cache_uri=f"{root}/cache")
+    answers.write.mode("overwrite").parquet(f"{root}/answers")
+    found, failed = measures.edges_of_answers(spark.read.parquet(f"{root}/answers"))
+    out = {"edges": found, "links": measures.logical_links(found), "failed": failed}
+    for name, df in out.items():
+        write_jsonl(df, f"{root}/{name}")
+    return out
+
+
 def build_measures(spark: SparkSession, identity: DataFrame, triples: DataFrame, root: str) -> dict[str, DataFrame]:
     """Implementing measures of the resolved directives and their metadata, as JSONL."""
     found = measures.edges(triples, measures.directives(identity))

@@ -41,6 +41,17 @@ def edges(triples: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.select("eu_celex", F.col("directive").alias("eu_work_uri"), F.col("nim").alias("nim_work_uri"), m["nim_celex"].alias("nim_celex"), F.col("p").alias("relation"), "direction", m["shape"].alias("shape"), m["database_id"].alias("database_id")).distinct()
 
 
+ANSWER = "array<struct<eu_work_uri:string,nim_work_uri:string,uri:string,relation:string,direction:string>>"
+
+
+def edges_of_answers(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Relations, as :func:`edges` gives them, from looked-up answers (``key, status, answer, error``), and the keys that failed."""
+    m = cx.measure(F.col("a.uri"))
+    rows = answers.filter("status = 'FOUND'").select(F.upper("key").alias("eu_celex"), F.explode(F.from_json("answer", ANSWER)).alias("a"))
+    found = rows.select("eu_celex", "a.eu_work_uri", "a.nim_work_uri", m["nim_celex"].alias("nim_celex"), "a.relation", "a.direction", m["shape"].alias("shape"), m["database_id"].alias("database_id"))
+    return found.distinct(), answers.filter("status = 'ERROR'").select(F.col("key").alias("celex"), "error")
+
+
 def logical_links(found: DataFrame) -> DataFrame:
     """One link for each act and measure with its sorted evidence."""
     evidence = F.array_sort(F.collect_set(F.struct("relation", "direction"))).alias("evidence")

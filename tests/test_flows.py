@@ -552,3 +552,62 @@ def test_builds_end_to_end(spark, tmp_path):
     second = lambda: lambda keys: {k: ["http://publications.europa.eu/resource/celex/32001L0001"] for k in keys}
     both = flows.build_european(spark, str(tmp_path / "eu2.zip"), str(tmp_path / "eu"), transport_factory=second)
     assert sorted(r["celex"] for r in both["acts"].collect()) == ["32000L0060", "32001L0001"] and both["provisions"].count() == 10
+
+
+CELEX_BASE = "http://publications.europa.eu/resource/celex/"
+
+
+class FakeEndpoint:
+    """Answers two acts, one with a measure, and counts its calls in a folder; a third act breaks every batch it is in."""
+
+    def __init__(self, folder):
+        self.folder = folder
+        os.makedirs(folder, exist_ok=True)
+
+    def __call__(self, request, timeout):
+        from urllib.parse import parse_qs
+
+        query = parse_qs(request.data.decode())["query"][0]
+        open(f"{self.folder}/{uuid.uuid4().hex}", "w").close()
+        if "32002L0002" in query:
+            raise urllib.error.URLError("off")
+        row = {"act": CELEX_BASE + "32000L0060", "work": "w1", "nim": "n1", "name": CELEX_BASE + "72000L0060FRA%5F240395", "relation": "r", "direction": "NIM_TO_DIRECTIVE"}
+        rows = [{k: {"type": "uri", "value": v} for k, v in row.items()}] if "32000L0060" in query else []
+        return io.BytesIO(json.dumps({"results": {"bindings": rows}}).encode())
+
+
+def test_measures_from_an_endpoint(spark, tmp_path):
+    from jurisloom.plans import flows
+    from jurisloom.sources import sparql
+
+    rows = [("32000L0060", "RESOLVED", "DIRECTIVE"), ("32001L0001", "RESOLVED", "DIRECTIVE"), ("32002L0002", "RESOLVED", "DIRECTIVE"), ("32003R0003", "RESOLVED", "REGULATION")]
+    identity = spark.createDataFrame(rows, "celex string, status string, act_type string")
+    calls = str(tmp_path / "calls")
+    factory = lambda: sparql.Endpoint(opener=FakeEndpoint(calls), gap=0.0).measures
+    from jurisloom.sources import remote as r
+
+    short = lambda *a, **k: r.look_up(*a, **k, retries=1)
+    flows_look_up, flows.look_up = flows.look_up, short
+    try:
+        out = flows.discover_measures(spark, identity.coalesce(1), str(tmp_path / "nim"), factory)
+        links = out["links"].collect()
+        assert [(x["eu_celex"], x["nim_celex"]) for x in links] == [("32000L0060", "72000L0060FRA_240395")]
+        assert [x["celex"] for x in out["failed"].collect()] == ["32002L0002"] and os.path.exists(tmp_path / "nim" / "failed")
+        before = len(os.listdir(calls))
+        flows.discover_measures(spark, identity.coalesce(1), str(tmp_path / "nim"), factory)
+        # Answered batches aren't asked again; those with the key that fails are.
+        assert 0 < len(os.listdir(calls)) - before < before
+    finally:
+        flows.look_up = flows_look_up
+
+
+def test_endpoint_waits_between_calls():
+    from jurisloom.sources import sparql
+
+    slept, now = [], [0.0]
+    answer = json.dumps({"results": {"bindings": [{"work": {"value": sparql.CELLAR + "u1"}, "alias": {"value": "a"}}, {"work": {"value": "other"}, "alias": {"value": "b"}}]}}).encode()
+    e = sparql.Endpoint(opener=lambda r, timeout: io.BytesIO(answer), gap=0.5, clock=lambda: now[0], sleep=slept.append)
+    assert e.aliases(["u1", "u2"]) == {"u1": ["a"], "u2": []}
+    now[0] = 0.2
+    e.aliases(["u1"])
+    assert slept == [pytest.approx(0.3)] and "VALUES ?work { <" + sparql.CELLAR + "u1> }" in sparql.aliases_of(["u1"])
