@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, language_id, licenses, lm_scoring, mixing, near_duplicates, token_counts, token_output, warc
+from . import base_columns, decontamination, fingerprints, language_id, licenses, lm_scoring, mixing, near_duplicates, token_counts, token_output, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_warc": warc.op9_warc,
         "op10_token_counts": token_counts.op10_token_counts,
-    }
+    } | base_columns.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.OP8_SQL, "op9_warc": warc.OP9_SQL}
+    return {"op8_mixing": mixing.OP8_SQL, "op9_warc": warc.OP9_SQL} | base_columns.oracle_sql()
