@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+import contextlib
+import html
+import json
 import unicodedata
 from functools import reduce
 
@@ -17,8 +21,8 @@ ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçè
 PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcCcCcDdEeEeEeEeEeGgGgGgGgHhIiIiIiIiIJjKkLlLlLlNnNnNnOoOoOoRrRrRrSsSsSsSsTtTtUuUuUuUuUuUuWwYyYZzZzZz"
 # Words that never count as tokens.
 STOP_WORDS = "de du des le la les un une et ou a au aux en dans pour par sur est sont être etre que qui se son sa ses ce cette ces doit doivent peut peuvent faire objet".split()
-# XML and HTML entities that cleaning resolves.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+# The entities that cleaning resolves by itself; all others go to the standard's whole list.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&middot;": "·", "&copy;": "©", "&amp;": "&"}
 # Tags that stand for a line break before them, and those that also close with one.
 BREAK_TAGS, BLOCK_TAGS = ("br", "p", "div", "li", "blockquote"), ("p", "div", "li", "blockquote")
 
@@ -28,20 +32,61 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
-def clean_markup(html: Column) -> Column:
+def clean_markup(markup: Column) -> Column:
     """Visible text of markup: block tags as line breaks, entities resolved, blanks collapsed, one empty line at most."""
-    x = F.coalesce(html, F.lit(""))
+    x = F.coalesce(markup, F.lit(""))
     x = F.regexp_replace(x, f"(?i)<(?:{'|'.join(BREAK_TAGS)})(?:[ \\t\\r\\n][^>]*)?/?>", "\n")
     x = F.regexp_replace(x, f"(?i)</(?:{'|'.join(BLOCK_TAGS)})[ \\t\\r\\n]*>", "\n")
     x = F.regexp_replace(x, "<[^>]*>", "")
-    for name, sign in ENTITIES.items():
-        x = F.replace(x, F.lit(name), F.lit(sign))
+    x = resolved(x)
     x = F.replace(x, F.lit("\u00a0"), F.lit(" "))
     x = F.regexp_replace(x, "[ \\t]+", " ")
     x = F.regexp_replace(x, "\\n[ \\t]+", "\n")
     return F.regexp_replace(F.regexp_replace(x, "\\n{3,}", "\n\n"), "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "")
 
 
+@F.pandas_udf(StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else html.unescape(t))
+
+
+def resolved(text: Column) -> Column:
+    """Text with its entities resolved, once each; only texts with rarer ones go to a vectorised function."""
+    common = "|".join(name[1:] for name in ENTITIES)
+    rare = text.rlike(rf"&(?!{common})[#A-Za-z]")
+    plain = text
+    for name, sign in ENTITIES.items():
+        plain = F.replace(plain, F.lit(name), F.lit(sign))
+    return F.coalesce(_unescaped(F.when(rare, text)), plain)
+
+
+def _said(value: object) -> object:
+    """What a text says as JSON, as a Python literal, or else itself."""
+    for read in (json.loads, ast.literal_eval):
+        if isinstance(value, str):
+            with contextlib.suppress(ValueError, SyntaxError, MemoryError, RecursionError):
+                return read(value.strip())
+    return value.strip() if isinstance(value, str) else value
+
+
+def titles_of(value: str | None) -> str:
+    """Titles of a path written as text, repeats in a row dropped, joined by ' > '; what is no list is one title."""
+    said = _said(value or "")
+    titles: list[str] = []
+    for item in map(_said, said if isinstance(said, list) else [said]):
+        if isinstance(item, dict):
+            item = next((item[k] for k in ("titre", "title", "libelle") if item.get(k)), "")
+        title = str(item).strip() if item else ""
+        if title and titles[-1:] != [title]:
+            titles.append(title)
+    return " > ".join(titles)
+
+
+@F.pandas_udf(StringType())
+def written_path_titles(path: pd.Series) -> pd.Series:
+    return path.map(titles_of)
+
+
 def first_filled(*alternatives: Column) -> Column:
     """The first alternative that is neither null nor empty."""
     return F.coalesce(*(F.nullif(a, F.lit("")) for a in alternatives))

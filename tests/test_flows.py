@@ -611,3 +611,10 @@ def test_endpoint_waits_between_calls():
     now[0] = 0.2
     e.aliases(["u1"])
     assert slept == [pytest.approx(0.3)] and "VALUES ?work { <" + sparql.CELLAR + "u1> }" in sparql.aliases_of(["u1"])
+
+
+def test_members_by_random_access(spark, tmp_path):
+    (tmp_path / "m.zip").write_bytes(archives.zip_of({f"d/{k}.xml": f"<A>{k}</A>".encode() for k in range(30)}))
+    wanted = spark.createDataFrame([("d/3.xml", 1), ("d/17.xml", 2), ("d/17.xml", 3), ("none", 4)], "member string, k int")
+    got = {r["k"]: bytes(r["content"]) for r in archives.read_members(spark, str(tmp_path / "m.zip"), wanted).collect()}
+    assert got == {1: b"<A>3</A>", 2: b"<A>17</A>", 3: b"<A>17</A>"}

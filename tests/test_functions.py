@@ -244,3 +244,15 @@ def test_pair_scores(spark):
     side = lambda k: {"action": F.col(f"a{k}"), "object": F.col(f"o{k}"), "actor": F.col(f"c{k}"), "modality": F.col(f"m{k}")}
     for r in df.select("want", ob.pair_score(side(1), side(2)).alias("got")).collect():
         assert r["got"] == r["want"]
+
+
+def test_entities(spark):
+    rows = {"a &amp;copy; b": "a &copy; b", "&eacute;t&#233; &#x2014; &copy;": "été — ©", "x &lt;b&gt; &nbsp; y": "x <b> y", "AT&T &notanentity; &": "AT&T ¬anentity; &", "": ""}
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, t string")
+    assert [r[0] for r in df.orderBy("k").select(text.clean_markup(F.col("t"))).collect()] == list(rows.values())
+
+
+def test_paths_written_as_text(spark):
+    rows = {'[{"titre": "A"}, {"title": "A"}, {"libelle": " B "}]': "A > B", "[{'titre': 'Livre I', 'x': None}, 'C', '{\"titre\": \"D\"}']": "Livre I > C > D", "plain": "plain", "": "", "{'titre': 'E'}": "E", "[": "[", "[1, '', None]": "1"}
+    df = spark.createDataFrame([*enumerate(rows), (99, None)], "k int, t string")
+    assert [r[0] for r in df.orderBy("k").select(text.written_path_titles("t")).collect()] == [*rows.values(), ""]
