@@ -396,19 +396,48 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.clean_markup(F.col("html")).alias("text"))
 
 
-CELEX_ROWS = ["32000L0060", "32025R1178R%2802%29", "32014D0717%2801%29", "32011Q0712%2801%29", "32017R0391R%2801%29", "52010XG0729%2801%29", "C2017%2F168%2F02", "32014l0001(01)", "", "32000L006"]
+_RAW_CELEX = """CASE o_orderkey % 7 WHEN 0 THEN '3' || strftime(o_orderdate, '%Y') || 'L' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') WHEN 1 THEN '32025r' || lpad((o_orderkey % 100000)::VARCHAR, 5, '0') || 'R%2802%29'
+  WHEN 2 THEN '32014D' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || '%2801%29' WHEN 3 THEN '52010XG0729%2801%29' WHEN 4 THEN 'C2017%2F168%2F' || o_orderkey WHEN 5 THEN '32000L' || (o_orderkey % 90 + 10) ELSE '32009X' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || '(01)R(03)' END"""
 
 
-@query(r"""
-WITH v(raw) AS (VALUES ('32000L0060'), ('32025R1178R%2802%29'), ('32014D0717%2801%29'), ('32011Q0712%2801%29'), ('32017R0391R%2801%29'), ('52010XG0729%2801%29'), ('C2017%2F168%2F02'), ('32014l0001(01)'), (''), ('32000L006')),
-n AS (SELECT raw, upper(url_decode(raw)) AS c FROM v),
-p AS (SELECT raw, c, regexp_matches(c, '^3[0-9]{4}[A-Z]{1,3}[0-9]{4,6}(\([0-9]{2}\))?(R\([0-9]{2}\))?$') AS ok FROM n)
-SELECT raw, CASE WHEN ok THEN c END AS celex, CASE WHEN ok THEN substr(c, 2, 4)::INTEGER END AS year, CASE WHEN ok THEN regexp_extract(c, '^3[0-9]{4}([A-Z]{1,3})', 1) END AS descriptor,
-  CASE WHEN ok THEN regexp_extract(c, '^3[0-9]{4}[A-Z]{1,3}([0-9]{4,6})', 1) END AS number, CASE WHEN ok THEN nullif(regexp_extract(c, 'R\(([0-9]{2})\)$', 1), '') END AS corrigendum FROM p
+@query(rf"""
+WITH v AS (SELECT o_orderkey, {_RAW_CELEX} AS raw FROM orders), n AS (SELECT o_orderkey, upper(url_decode(raw)) AS c FROM v),
+p AS (SELECT o_orderkey, c, regexp_matches(c, '^3[0-9]{{4}}[A-Z]{{1,3}}[0-9]{{4,6}}(\([0-9]{{2}}\))?(R\([0-9]{{2}}\))?$') AS ok FROM n)
+SELECT o_orderkey, CASE WHEN ok THEN c END AS celex, CASE WHEN ok THEN substr(c, 2, 4)::INTEGER END AS year, CASE WHEN ok THEN regexp_extract(c, '^3[0-9]{{4}}([A-Z]{{1,3}})', 1) END AS descriptor,
+  CASE WHEN ok THEN regexp_extract(c, '^3[0-9]{{4}}[A-Z]{{1,3}}([0-9]{{4,6}})', 1) END AS number, CASE WHEN ok THEN nullif(regexp_extract(c, 'R\(([0-9]{{2}})\)$', 1), '') END AS corrigendum,
+  CASE WHEN ok AND contains(c, 'R(') THEN regexp_replace(c, 'R\([0-9]{{2}}\)$', '') END AS base_celex,
+  CASE WHEN ok THEN CASE regexp_extract(c, '^3[0-9]{{4}}([A-Z]{{1,3}})', 1) WHEN 'L' THEN 'DIRECTIVE' WHEN 'R' THEN 'REGULATION' WHEN 'D' THEN 'DECISION' WHEN 'X' THEN 'OTHER_OJ_L' END END AS act_type FROM p
 """)
 def celex_parse(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in CELEX_ROWS], "raw string").withColumn("c", cx.sector3(F.col("raw")))
-    return rows.select("raw", "c.celex", "c.year", "c.descriptor", "c.number", cx.corrigendum(F.col("c.celex"))["number"].alias("corrigendum"))
+    """An identifier made of every order, in seven forms."""
+    rows = table(spark, d, "orders").select("o_orderkey", cx.sector3(raw_celex()).alias("c"))
+    fix = cx.corrigendum(F.col("c.celex"))
+    return rows.select("o_orderkey", "c.celex", "c.year", "c.descriptor", "c.number", fix["number"].alias("corrigendum"), fix["base_celex"].alias("base_celex"), "c.act_type")
+
+
+def raw_celex() -> Column:
+    k = F.col("o_orderkey")
+    digits = lambda n: F.lpad((k % 10**n).cast("string"), n, "0")
+    forms = [
+        F.concat(F.lit("3"), F.date_format("o_orderdate", "yyyy"), F.lit("L"), digits(4)), F.concat(F.lit("32025r"), digits(5), F.lit("R%2802%29")), F.concat(F.lit("32014D"), digits(4), F.lit("%2801%29")),
+        F.lit("52010XG0729%2801%29"), F.concat(F.lit("C2017%2F168%2F"), k.cast("string")), F.concat(F.lit("32000L"), (k % 90 + 10).cast("string")), F.concat(F.lit("32009X"), digits(4), F.lit("(01)R(03)")),
+    ]
+    return F.get(F.array(*forms), (k % 7).cast("int"))
+
+
+@query(rf"""
+WITH o AS (SELECT o_custkey, o_orderkey, upper(url_decode({_RAW_CELEX})) AS c FROM orders),
+u AS (SELECT o_custkey, list_sort(list_distinct(list(c) FILTER (WHERE regexp_matches(c, '^3[0-9]{{4}}[A-Z]{{1,3}}[0-9]{{4,6}}(\([0-9]{{2}}\))?(R\([0-9]{{2}}\))?$')))) AS ids, count(*) FILTER (WHERE o_orderkey % 11 = 0) > 0 AS broken FROM o GROUP BY o_custkey)
+SELECT o_custkey::VARCHAR AS cellar_uuid, CASE WHEN broken THEN 'SPARQL_ERROR' WHEN len(coalesce(ids, [])) = 1 THEN 'RESOLVED' WHEN len(coalesce(ids, [])) > 1 THEN 'MULTIPLE_CELEX' ELSE 'NO_SECTOR3_CELEX' END AS status,
+  CASE WHEN NOT broken AND len(ids) = 1 THEN ids[1] END AS celex FROM u
+""")
+def alias_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's orders as its names; some answers were errors."""
+    uri = F.concat(F.lit("http://publications.europa.eu/resource/celex/"), raw_celex())
+    remote = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("cellar_uuid")).agg(
+        F.collect_list(uri).alias("same_as"), F.when(F.count_if(F.col("o_orderkey") % 11 == 0) > 0, "SPARQL_ERROR").alias("status")
+    )
+    return european.classify_aliases(remote).select("cellar_uuid", "status", "celex")
 
 
 TOKENS_SQL = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{3,}'), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w)))"
@@ -589,10 +618,19 @@ def embedding_document(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.embedding_document(F.upper("lang"), F.col("source"), F.col("doc_id").cast("string"), F.lit(""), F.col("text")).alias("document"))
 
 
-@query("SELECT raw, CASE WHEN regexp_full_match(trim(raw), '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND NOT starts_with(trim(raw), '2999-') THEN try_cast(trim(raw) AS DATE) END AS day, CASE WHEN length(raw) >= 10 THEN substr(raw, 1, 10) END AS first10 FROM (VALUES ('2020-01-31'), ('2999-01-01'), ('2020-02-30'), (''), (' 2021-05-05 '), ('20200101'), ('2020-01-31T10:00:00')) v(raw)")
+@query("""
+WITH r AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN ' ' || strftime(o_orderdate, '%Y-%m-%d') || ' ' WHEN 2 THEN '2999-' || strftime(o_orderdate, '%m-%d') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') WHEN 4 THEN strftime(o_orderdate, '%Y-02-') || lpad((o_orderkey % 32)::VARCHAR, 2, '0') ELSE strftime(o_orderdate, '%Y%m%d') END AS raw FROM orders)
+SELECT o_orderkey, CASE WHEN regexp_full_match(trim(raw), '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND NOT starts_with(trim(raw), '2999-') THEN try_cast(trim(raw) AS DATE) END AS day, CASE WHEN length(raw) >= 10 THEN substr(raw, 1, 10) END AS first10 FROM r
+""")
 def safe_dates(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("2020-01-31", "2999-01-01", "2020-02-30", "", " 2021-05-05 ", "20200101", "2020-01-31T10:00:00")], "raw string")
-    return rows.select("raw", dates.safe_date(F.col("raw")).alias("day"), dates.date10(F.col("raw")).alias("first10"))
+    """The day of every order, written in six ways, some of them no day."""
+    k, day = F.col("o_orderkey"), lambda form: F.date_format("o_orderdate", form)
+    forms = F.array(
+        day("yyyy-MM-dd"), F.concat(F.lit(" "), day("yyyy-MM-dd"), F.lit(" ")), F.concat(F.lit("2999-"), day("MM-dd")), day("yyyy-MM-dd'T'HH:mm:ss"),
+        F.concat(day("yyyy-02-"), F.lpad((k % 32).cast("string"), 2, "0")), day("yyyyMMdd"),
+    )
+    rows = table(spark, d, "orders").select("o_orderkey", F.get(forms, (k % 6).cast("int")).alias("raw"))
+    return rows.select("o_orderkey", dates.safe_date(F.col("raw")).alias("day"), dates.date10(F.col("raw")).alias("first10"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '…' ELSE text END AS excerpt FROM documents")
@@ -793,6 +831,176 @@ def pair_features(spark: SparkSession, d: str) -> DataFrame:
     return obligations.pair_candidates(eu, fr, 0.12, None).select("eu_id", "fr_id", F.col("field_jaccard.action").alias("action"), "same_modality", "score")
 
 
+def escaped(c: Column) -> Column:
+    """Text as it may stand in markup."""
+    plain = F.translate(c, "".join(map(chr, [*range(9), 11, 12, 13, *range(14, 32)])), "")
+    return F.replace(F.replace(F.replace(plain, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def article_files(spark: SparkSession, d: str) -> DataFrame:
+    """An article's file made of every document."""
+    k = F.col("doc_id").cast("string")
+    tag = lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
+    state = F.when(F.col("doc_id") % 5 == 0, "ABROGE").when(F.col("doc_id") % 5 == 1, "modifie").otherwise("VIGUEUR")
+    meta = tag("META", F.concat(
+        tag("META_COMMUN", F.concat(tag("ID", F.when(F.col("doc_id") % 13 == 0, " ").otherwise(F.concat(F.lit(" A"), k))), tag("ORIGINE", F.lit("LEGI")))),
+        tag("META_SPEC", tag("META_ARTICLE", F.concat(tag("NUM", F.concat(F.lit("L"), k)), tag("ETAT", state), tag("DATE_DEBUT", F.lit("2001-02-03")), tag("DATE_FIN", F.lit("2999-01-01")), tag("INT_ORDRE", k)))),
+    ))
+    context = F.concat(
+        F.lit('<CONTEXTE><TEXTE cid="'), F.coalesce("source", F.lit("")), F.lit('" nature="code"><TITRE_TXT c_titre_court="'), F.coalesce("lang", F.lit("")), F.lit('" id_txt="T"/>'),
+        F.lit("<TM><TITRE_TM id='m'>Livre</TITRE_TM></TM></TEXTE></CONTEXTE>"),
+    )
+    older = F.concat(F.lit('<VERSIONS><VERSION><LIEN_ART id="A'), k, F.lit('" debut="2001-02-03"/></VERSION><VERSION><LIEN_ART id="A'), (F.col("doc_id") - F.col("doc_id") % 3).cast("string"), F.lit('" debut="1999-01-01"/></VERSION></VERSIONS>'))
+    link = F.concat(F.lit('<LIEN typelien="cite" sens="SOURCE" id="X" cidtexte="'), k, F.lit('">Loi <b>n 1</b></LIEN>'))
+    body = tag("BLOC_TEXTUEL", tag("CONTENU", F.concat(F.lit("<p>"), F.when(F.col("doc_id") % 17 == 0, "").otherwise(escaped(F.col("text"))), F.lit("</p>"))))
+    content = tag("ARTICLE", F.concat(meta, F.when(F.col("doc_id") % 19 == 0, "").otherwise(context), older, body, tag("LIENS", F.repeat(link, (F.col("doc_id") % 3).cast("int")))))
+    return table(spark, d, "documents").select(F.lit("archive").alias("archive"), F.col("doc_id").alias("seq"), F.concat(F.lit("d/"), k, F.lit(".xml")).alias("path"), content.cast("binary").alias("content"))
+
+
+_VISIBLE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B-\x1F]', '', 'g'), chr(160), ' ', 'g'), '[ \t]+', ' ', 'g'), '\n[ \t]+', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10))"
+_ARTICLES_SQL = f"""
+a AS (SELECT doc_id, lang, source, {_VISIBLE} AS body FROM documents),
+r AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'NO_ID' WHEN doc_id % 5 = 0 THEN 'EXCLUDED_STATE' WHEN doc_id % 17 = 0 OR body = '' THEN 'EMPTY_CONTENT' WHEN doc_id % 19 = 0 THEN 'NO_CONTEXT' END AS why FROM a)"""
+
+
+@query(f"WITH {_ARTICLES_SQL} SELECT 'A' || doc_id AS source_id, CASE WHEN doc_id % 5 = 1 THEN 'MODIFIE' ELSE 'VIGUEUR' END AS etat, 'A' || (doc_id - doc_id % 3) AS unit, coalesce(nullif(source, ''), 'UNKNOWN:A' || doc_id) AS text_source, sha256(body) AS checksum, DATE '2001-02-03' AS date_debut, 'L' || doc_id AS numero, doc_id::INTEGER AS ordre, nullif(lang, '') AS titre, CASE WHEN coalesce(lang, '') <> '' THEN lang || '/' ELSE '' END || 'Livre' AS chemin, doc_id % 3 AS relations FROM r WHERE why IS NULL")
+def article_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed articles that are kept."""
+    rows = national.parsed(article_files(spark, d)).filter("reject_reason is null")
+    return rows.select(
+        "version.source_id", "version.etat", F.col("unite.source_id").alias("unit"), F.col("texte.source_id").alias("text_source"), F.col("version.checksum_sha256").alias("checksum"), "version.date_debut",
+        "unite.numero", "unite.ordre", "texte.titre", F.array_join("unite.chemin.titre", "/").alias("chemin"), F.size("relations").cast("long").alias("relations"),
+    )
+
+
+@query(f"WITH {_ARTICLES_SQL} SELECT count(*) AS xml_scanned, count(*) AS articles_xml, count(*) FILTER (WHERE why IS NULL) AS imported, count(*) FILTER (WHERE why IS NOT NULL) AS ignored, coalesce(sum(doc_id % 3) FILTER (WHERE why IS NULL), 0)::BIGINT AS relations FROM r")
+def article_counters(spark: SparkSession, d: str) -> DataFrame:
+    files = article_files(spark, d)
+    return national.counters(files.select("path"), national.parsed(files))
+
+
+@query(f"""
+WITH {_ARTICLES_SQL},
+k AS (SELECT *, 'A' || (doc_id - doc_id % 3) AS unit, coalesce(nullif(source, ''), 'UNKNOWN:A' || doc_id) AS txt FROM r WHERE why IS NULL)
+SELECT (SELECT count(DISTINCT txt) FROM k) AS texts, (SELECT count(DISTINCT unit) FROM k) AS units, count(*) AS versions, (SELECT coalesce(sum(doc_id % 3), 0)::BIGINT FROM k) AS relations,
+  (SELECT string_agg(numero, ',' ORDER BY numero) FROM (SELECT arg_max('L' || doc_id, 'd/' || doc_id || '.xml') AS numero FROM (SELECT doc_id, unit FROM k) GROUP BY unit)) IS NOT NULL AS numbered FROM k
+""")
+def article_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Texts, units, versions and relations of all articles, one row for each id."""
+    found = national.tables(national.parsed(article_files(spark, d)))
+    counts = [found[n].agg(F.count("*").alias(c)) for n, c in (("texte", "texts"), ("unite", "units"), ("version", "versions"), ("relation", "relations"))]
+    out = counts[0]
+    for x in counts[1:]:
+        out = out.crossJoin(x)  # a row each
+    return out.crossJoin(found["unite"].agg((F.count_if(F.col("numero").isNull()) == 0).alias("numbered")))
+
+
+def act_files(spark: SparkSession, d: str) -> DataFrame:
+    """An act made of every document: a division, an article with a numbered paragraph, and a list with an inner one and a quoted article."""
+    k = F.col("doc_id").cast("string")
+    quoted = F.lit("<QUOT.S><ARTICLE><TI.ART>no</TI.ART></ARTICLE></QUOT.S>")
+    items = F.concat(F.lit("<LIST>"), F.repeat(F.lit("<ITEM><NP><NO.P>a)</NO.P><P>A<LIST><ITEM><NP><NO.P>i)</NO.P><TXT>B</TXT></NP></ITEM></LIST></P></NP></ITEM>"), (F.col("doc_id") % 3).cast("int")), F.lit("</LIST>"))
+    article_ = F.concat(F.lit("<ARTICLE><TI.ART>Article "), k, F.lit("</TI.ART><PARAG><NO.PARAG>1.</NO.PARAG><ALINEA><P>"), escaped(F.col("text")), F.lit("</P>"), quoted, items, F.lit("</ALINEA></PARAG></ARTICLE>"))
+    content = F.concat(F.lit("<ACT><ENACTING.TERMS><DIVISION><TITLE><TI>Part "), F.coalesce("lang", F.lit("")), F.lit("</TI></TITLE>"), article_, F.lit("</DIVISION></ENACTING.TERMS></ACT>"))
+    return table(spark, d, "documents").select(F.concat(F.lit("u"), k).alias("cellar_uuid"), F.concat(F.lit("u"), k, F.lit("/a.fmx.xml")).alias("member"), F.concat(F.lit("32000L"), F.lpad((F.col("doc_id") % 10_000).cast("string"), 4, "0")).alias("celex"), content.cast("binary").alias("content"))
+
+
+@query("""
+WITH d AS (SELECT 'u' || doc_id AS cellar_uuid, doc_id, '32000L' || lpad((doc_id % 10000)::VARCHAR, 4, '0') AS celex, 'Part ' || lang AS division, (doc_id % 3)::BIGINT AS n FROM documents)
+SELECT cellar_uuid, celex, 3 + 2 * n AS provisions, 1::BIGINT AS articles, 1::BIGINT AS paragraphs, 2 * n AS items, 'Article ' || doc_id AS article_label, division, CASE WHEN n > 0 THEN 'a)>i)' END AS inner_path, 1::BIGINT AS roots,
+  substr(sha256(celex || '|u' || doc_id || '/a.fmx.xml|ARTICLE|ACT/ENACTING.TERMS/DIVISION[1]/ARTICLE[1]'), 1, 24) AS article_id FROM d
+""")
+def provision_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Provisions of all acts, through the flow's own join of identities, members and contents."""
+    files = act_files(spark, d)
+    identity = files.select("cellar_uuid", F.lit("RESOLVED").alias("status"), "celex", F.lit("DIRECTIVE").alias("act_type"))
+    members_ = files.select("cellar_uuid", "member", F.lit("ACT").alias("root_tag"))
+    rows = european.provisions(identity, members_, files.select("member", "content")).select("cellar_uuid", "celex", F.explode("provisions").alias("p")).select("cellar_uuid", "celex", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("kind", "parent_id", "provision_id", "article_label", "division_path", "list_path")))
+    kind = lambda k: F.count_if(F.col("p_kind") == k)
+    inner = F.max(F.when(F.size("p_list_path") == 2, F.array_join("p_list_path", ">")))
+    article_ = F.col("p_kind") == "ARTICLE"
+    return rows.groupBy("cellar_uuid", "celex").agg(
+        F.count("*").alias("provisions"), kind("ARTICLE").alias("articles"), kind("PARAGRAPH").alias("paragraphs"), kind("LIST_ITEM").alias("items"), F.max("p_article_label").alias("article_label"),
+        F.max(F.get("p_division_path", F.lit(0))).alias("division"), inner.alias("inner_path"), F.count_if(F.col("p_parent_id").isNull()).alias("roots"), F.max(F.when(article_, F.col("p_provision_id"))).alias("article_id"),
+    )
+
+
+def triples(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as directives, orders as national measures of theirs, with some of their facts."""
+    o = table(spark, d, "orders")
+    work, nim = F.concat(F.lit("w"), F.col("o_custkey").cast("string")), F.concat(F.lit("n"), F.col("o_orderkey").cast("string"))
+    relation = F.lit(measures.CDM + measures.RELATIONS[0])
+    there = F.col("o_orderkey") % 4 > 0
+    t = lambda s_, p_, o_: F.struct(s_.cast("string").alias("s"), p_.alias("p"), o_.cast("string").alias("o"))
+    name = F.concat(F.lit(measures.CELEX_URI + "72000L0060FRA_"), F.col("o_orderkey").cast("string"))
+    fact = lambda f: F.lit(measures.CDM + measures.FIELDS[f])
+    rows = [
+        t(work, F.lit(measures.SAME_AS), F.concat(F.lit(measures.CELEX_URI + "32000L"), F.lpad(F.col("o_custkey").cast("string"), 6, "0"))), t(nim, F.lit(measures.SAME_AS), name),
+        F.when(there, t(nim, relation, work)).otherwise(t(work, relation, nim)),
+        t(nim, fact("title"), F.col("o_orderpriority")), F.when(F.col("o_orderkey") % 3 == 0, t(nim, fact("title"), F.col("o_orderstatus"))), F.when(F.col("o_orderkey") % 5 == 0, t(nim, fact("eli"), F.col("o_orderkey"))),
+    ]
+    return o.select(F.explode(F.array_compact(F.array(*rows))).alias("t")).select("t.*")
+
+
+@query("SELECT '32000L' || lpad(o_custkey::VARCHAR, 6, '0') AS eu_celex, 'n' || o_orderkey AS nim_work_uri, '72000L0060FRA_' || o_orderkey AS nim_celex, CASE WHEN o_orderkey % 4 > 0 THEN 'NIM_TO_DIRECTIVE' ELSE 'DIRECTIVE_TO_NIM' END AS direction, 'STANDARD' AS shape, o_orderkey::BIGINT AS database_id FROM orders WHERE o_custkey % 2 = 0")
+def measure_edges(spark: SparkSession, d: str) -> DataFrame:
+    identity = table(spark, d, "customer").select(F.concat(F.lit("32000L"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("celex"), F.when(F.col("c_custkey") % 2 == 0, "RESOLVED").otherwise("AMBIGUOUS").alias("status"), F.lit("DIRECTIVE").alias("act_type"))
+    return measures.edges(triples(spark, d), measures.directives(identity)).select("eu_celex", "nim_work_uri", "nim_celex", "direction", "shape", "database_id")
+
+
+@query("SELECT 'n' || o_orderkey AS nim_work, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS title, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey::VARCHAR END AS eli, CASE WHEN o_orderkey % 3 = 0 THEN 'title' ELSE '' END AS ambiguous FROM orders")
+def measure_metadata(spark: SparkSession, d: str) -> DataFrame:
+    works = table(spark, d, "orders").select(F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("work"))
+    return measures.flat(measures.metadata(triples(spark, d), works)).select("nim_work", "title", "eli", F.array_join("ambiguous_fields", ",").alias("ambiguous"))
+
+
+@query("SELECT count(*) AS title_covered, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS title_ambiguous, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS eli_covered, 0::BIGINT AS eli_ambiguous FROM orders")
+def measure_coverage(spark: SparkSession, d: str) -> DataFrame:
+    works = table(spark, d, "orders").select(F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("work"))
+    return measures.coverage(measures.metadata(triples(spark, d), works)).select("title_covered", "title_ambiguous", "eli_covered", "eli_ambiguous")
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'bad modality' WHEN 2 THEN 'half a span' WHEN 3 THEN 'bad action' WHEN 4 THEN CASE WHEN substr(text, 2, 5) <> substr(text, 1, 5) THEN 'excerpt differs' END WHEN 5 THEN 'bad conditions' END AS problem
+FROM documents WHERE length(text) >= 10 AND trim(substr(text, 1, 5)) <> ''
+""")
+def payload_contract(spark: SparkSession, d: str) -> DataFrame:
+    """A payload made of every document, broken in six ways."""
+    k = F.col("doc_id") % 8
+    text_ = lambda c: F.lit(None).cast("string").alias(c)
+    lists = lambda c, bad: (F.when(bad, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))).alias(c)
+    fields = [text_(c) for c in ob.OPTIONAL_TEXTS] + [
+        F.when(k == 3, " ").otherwise("act").alias("action"), F.substring("text", 1, 5).alias("source_excerpt"), lists("conditions", k == 5), lists("exceptions", F.lit(False)),
+        F.when(k == 1, "WISH").otherwise("OBLIGATION").alias("modality"), F.when(k == 2, F.lit(None)).when(k == 4, F.lit(1)).otherwise(F.lit(0)).cast("int").alias("span_start"),
+        F.when(k == 4, 6).otherwise(5).alias("span_end"),
+    ]
+    raw = F.when(k == 0, "{").otherwise(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+    rows = table(spark, d, "documents").filter((F.length("text") >= 10) & (F.trim(F.substring("text", 1, 5)) != ""))
+    return rows.select("doc_id", ob.contract_problem(raw, F.col("text")).alias("problem"))
+
+
+@query("""
+SELECT doc_id, sha256('{"jurisdiction":"FR","source_checksum":"' || sha256(text) || '","source_excerpt":"' || source || '","source_id":' || CASE WHEN doc_id % 3 = 0 THEN 'null' ELSE '"' || doc_id || '"' END || ',"span_end":12,"span_start":' || doc_id % 4 || '}') AS fingerprint FROM documents
+""")
+def evidence_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    fields = {"jurisdiction": F.lit("FR"), "source_id": F.when(k % 3 > 0, k.cast("string")), "source_checksum": F.sha2("text", 256), "source_excerpt": F.col("source"), "span_start": k % 4, "span_end": F.lit(12)}
+    return table(spark, d, "documents").select("doc_id", ids.evidence_fingerprint(**fields).alias("fingerprint"))
+
+
+@query(r"""
+WITH i AS (SELECT o_custkey, upper(url_decode(%s)) AS c, 'u' || o_orderkey AS u FROM orders),
+k AS (SELECT DISTINCT ON (c) c FROM i WHERE regexp_matches(c, '^3')),
+f AS (SELECT c, CASE WHEN regexp_matches(c, '^3[0-9]{4}[A-Z]{1,3}[0-9]{4,6}(\([0-9]{2}\))?R\([0-9]{2}\)$') THEN regexp_replace(c, 'R\([0-9]{2}\)$', '') END AS base FROM k)
+SELECT f.c AS celex, f.base AS base_celex, CASE WHEN b.c IS NOT NULL THEN 'PRESENT' ELSE 'ABSENT' END AS target_status FROM f LEFT JOIN k b ON b.c = f.base WHERE f.base IS NOT NULL
+""" % _RAW_CELEX)
+def corrigendum_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Relations of corrigenda to the acts they correct, and whether these are there."""
+    rows = table(spark, d, "orders").select(F.upper(F.try_url_decode(raw_celex())).alias("celex"), F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("cellar_uuid")).filter("celex rlike '^3'")
+    none = rows.select(F.col("celex"), F.lit("x").alias("provision_id")).limit(0)
+    return european.normalise(rows.withColumn("status", F.lit("RESOLVED")), none)["relations"].select("celex", "base_celex", "target_status")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
