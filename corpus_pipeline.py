@@ -1,4 +1,9 @@
-"""From documents to packed token ids: five stages, each over all that its predecessor kept."""
+"""From documents to packed token ids: five stages, each over all that its predecessor kept.
+
+Every stage takes nulls in any column, empty and very long texts, ties, repeated
+rows, columns of any names and empty tables; what it makes of them is said
+below.  All but the last give rows as they were.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +20,11 @@ MOST_NOISE = 0.5
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, and those whose trigrams fit noise better than any language."""
+    """Drop documents without a letter, and those whose trigrams fit noise better than any language.
+
+    So null and empty texts go; rows without an id stay if their text does, repeated
+    rows share one fate; with no labelled row only texts without a letter go.
+    """
     langs, model, bits = language_id.train(language_id.learned_part(docs))
     names = docs.columns
     found = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").alias("text"))
@@ -25,22 +34,32 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, stays of each class of near copies."""
+    """One document, of the smallest id (null: largest; then by its text's hash), stays of each class of near copies.
+
+    Repeated rows are copies; texts without a word are nobody's.
+    """
     return near_duplicates.one_of_each(docs)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that contain a benchmark item."""
+    """Drop documents that contain a benchmark item; null and empty texts contain none."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short_inside=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat and sample documents to their sources' target weights."""
+    """Repeat and sample documents to their sources' target weights.
+
+    A null source is one of its own, a null text has size 0, rows that tie in
+    source, id and size share one decision.
+    """
     return mixing.mix(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write token shards and give what the files hold for each document."""
+    """Write token shards and give what the files hold for each document: ``doc_id, start, n_tokens, ids_crc32``.
+
+    Null ids come first, equal ids by their tokens; a null text has its end id only.
+    """
     import public_tokenizers
 
     return token_output.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
