@@ -47,3 +47,8 @@ def evidence_fingerprint(**fields: Column) -> Column:
     """SHA-256 of the fields as JSON in the order of their names, nulls kept."""
     ordered = F.struct(*(fields[k].alias(k) for k in sorted(fields)))
     return F.sha2(F.to_json(ordered, {"ignoreNullFields": "false"}), 256)
+
+
+def index_name(model: Column, dimension: Column) -> Column:
+    """Name of a model's vector index: its dimension and the first ten digits of the SHA-1 of its name."""
+    return F.concat_ws("_", F.lit("version_embedding_hnsw"), dimension.cast("string"), F.substring(F.sha1(F.encode(model, "UTF-8")), 1, 10))

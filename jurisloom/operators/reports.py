@@ -23,6 +23,12 @@ def top_groups(df: DataFrame, label: Column, limit: int | None = None, unknown:
     return grouped.limit(limit) if limit else grouped
 
 
+def counters(df: DataFrame, *columns: str, missing: str = "<NONE>") -> DataFrame:
+    """``what, value, n``: how often each column has each value.  One pass."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("what"), F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias("value")) for c in columns))
+    return df.select(F.inline(pairs)).groupBy("what", "value").agg(F.count("*").alias("n"))
+
+
 def children_of(parents: DataFrame, children: DataFrame, on: Column, keys: list[str], child_id: str, limit: int | None = None) -> DataFrame:
     """Parents with their number of matching children, zero included."""
     grouped = parents.join(children, on, "left").groupBy(*keys).agg(F.count(child_id).alias("n")).orderBy(F.desc("n"), *keys)

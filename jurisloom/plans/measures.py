@@ -58,6 +58,16 @@ def logical_links(found: DataFrame) -> DataFrame:
     return found.groupBy("eu_celex", "eu_work_uri", "nim_work_uri", "nim_celex").agg(evidence)
 
 
+def summary(asked: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: acts asked for, those with measures and without, links, and distinct measures; ``unique`` tells that no link is there twice."""
+    n = asked.agg(F.count_distinct("celex").alias("asked"))
+    found = links.agg(
+        F.count_distinct("eu_celex").alias("covered"), F.count("*").alias("links"), F.count_distinct("nim_work_uri").alias("works"),
+        (F.count("*") == F.count_distinct("eu_celex", "nim_work_uri", "nim_celex")).alias("unique"),
+    )
+    return n.join(found, F.lit(True)).withColumn("uncovered", F.col("asked") - F.col("covered"))
+
+
 def work_uri(*candidates: Column, cellar_uuid: Column | None = None) -> Column:
     """The first candidate that is a web address, else the object's address."""
     tried = [F.when(c.rlike("^https?://"), c) for c in candidates]

@@ -110,7 +110,7 @@ class ObligationStore:
         rows = first_seen(rows, plan.IDENTITY, F.struct("rank", "position"))
         rows = rows.join(answers.filter("problem is null").select("source_id"), "source_id", "left_semi").withColumns({
             "run_id": mine("run", F.col("source_id")), "obligation_id": mine("obligation", F.col("source_id"), F.col("rank"), F.col("position")),
-            "jurisdiction": F.lit(jurisdiction), "review_status": F.lit("PENDING"),
+            "jurisdiction": F.lit(jurisdiction), "review_status": F.lit("UNREVIEWED"),
         })
         self.table("obligation").append(rows.select(*self.table("obligation").schema.names))
         stored = self.table("obligation").read().join(answers.select("source_id").distinct(), "source_id").filter(F.col("jurisdiction") == jurisdiction)
@@ -211,6 +211,35 @@ class ObligationStore:
         self.table("extraction_cascade").upsert(self.spark.createDataFrame([row], schemas.CASCADE), STATE_KEY, cascade_policy())
 
 
+# What stored rows may say.
+KINDS, STATUSES, REVIEWS = ("DETERMINISTIC", "LLM", "HYBRID", "HUMAN"), ("RUNNING", "SUCCEEDED", "FAILED"), ("UNREVIEWED", "ACCEPTED", "REJECTED", "NEEDS_REVIEW")
+
+
+def row_rules(table: str) -> dict[str, Column]:
+    """Conditions that stored rows keep, by name."""
+    one_of = lambda c, allowed: F.col(c).isin(*allowed)
+    said = lambda c: F.length(F.trim(c)) > 0
+    start, end = F.col("span_start"), F.col("span_end")
+    return {
+        "run": {
+            "KIND": one_of("extractor_kind", KINDS), "STATUS": one_of("status", STATUSES),
+            "FINISHED_BEFORE_STARTED": F.col("finished_at").isNull() | (F.col("finished_at") >= F.col("started_at")),
+        },
+        "obligation": {
+            "JURISDICTION": one_of("jurisdiction", JURISDICTIONS), "SOURCE": F.col("source_id").isNotNull(), "CHECKSUM": F.length("source_checksum") > 0, "EXCERPT": said("source_excerpt"),
+            "MODALITY": one_of("modality", ob.MODALITIES), "ACTION": said("action"), "REVIEW": one_of("review_status", REVIEWS),
+            "SPAN": (start.isNull() & end.isNull()) | ((start >= 0) & (end > start)),
+        },
+    }[table]
+
+
+def quarantine(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that keep all conditions, and the others with the names of those they break; a null where a value must be breaks one."""
+    broken = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in row_rules(table).items())))
+    rows = df.withColumn("problems", broken)
+    return rows.filter(F.size("problems") == 0).drop("problems"), rows.filter(F.size("problems") > 0)
+
+
 def cascade_policy() -> dict[str, Column]:
     """How a state is renewed: what a step doesn't know stays, a claim clears the error, only an end has a time."""
     claimed = F.col("n.status") == "RUNNING"

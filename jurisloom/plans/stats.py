@@ -28,6 +28,12 @@ def national(texts: DataFrame, units: DataFrame, versions: DataFrame, models: Da
     }
 
 
+def embedded(embeddings: DataFrame, versions: DataFrame, model: str, state: str = "VIGUEUR") -> DataFrame:
+    """One row: how many versions of a state a model has embedded."""
+    mine = embeddings.filter(F.col("model") == model).select(F.col("version_id").alias("id"))
+    return mine.join(versions.filter(F.col("etat") == state).select("id"), "id").agg(F.count("*").alias("n"))
+
+
 def european(acts: DataFrame, provisions: DataFrame) -> dict[str, Callable[[], DataFrame]]:
     return {
         "totals": lambda: totals(

@@ -18,8 +18,8 @@ from .functions import celex as cx
 from .functions import dates, fulltext, ids, text, vectors
 from .functions import obligations as ob
 from .operators import dedup, merge, reports
-from .plans import european, measures, national, obligations, search, search_index
-from .plans.obligation_store import audit, cascade_policy
+from .plans import european, measures, national, obligations, search, search_index, stats
+from .plans.obligation_store import audit, cascade_policy, quarantine
 from .streaming.query_log import retained
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1001,6 +1001,46 @@ def corrigendum_targets(spark: SparkSession, d: str) -> DataFrame:
     return european.normalise(rows.withColumn("status", F.lit("RESOLVED")), none)["relations"].select("celex", "base_celex", "target_status")
 
 
+@query("SELECT count(*) AS n FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id WHERE e.label = 3 AND d.lang = 'en'")
+def embedded_in_force(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("version_id"), F.col("label").cast("string").alias("model"))
+    return stats.embedded(e, table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("etat")), "3", "en")
+
+
+@query("SELECT 'l_returnflag' AS what, l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY 2 UNION ALL SELECT 'year', CASE WHEN year(l_shipdate) % 2 = 0 THEN year(l_shipdate)::VARCHAR ELSE '<NONE>' END, count(*) FROM lineitem GROUP BY 2")
+def value_counters(spark: SparkSession, d: str) -> DataFrame:
+    year = F.year("l_shipdate")
+    return reports.counters(table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.when(year % 2 == 0, year).alias("year")), "l_returnflag", "l_linestatus", "year")
+
+
+@query("WITH l AS (SELECT * FROM orders WHERE o_custkey % 2 = 0) SELECT (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) AS asked, count(DISTINCT o_custkey) AS covered, count(*) AS links, count(DISTINCT o_orderkey) AS works, true AS \"unique\", (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0) - count(DISTINCT o_custkey) AS uncovered FROM l")
+def measure_summary(spark: SparkSession, d: str) -> DataFrame:
+    identity = table(spark, d, "customer").select(F.concat(F.lit("32000L"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("celex"), F.when(F.col("c_custkey") % 2 == 0, "RESOLVED").otherwise("AMBIGUOUS").alias("status"), F.lit("DIRECTIVE").alias("act_type"))
+    asked = measures.directives(identity)
+    return measures.summary(asked, measures.logical_links(measures.edges(triples(spark, d), asked)))
+
+
+@query("SELECT p_partkey, 'version_embedding_hnsw_' || p_size || '_' || substr(sha1(p_name), 1, 10) AS name FROM part")
+def index_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", ids.index_name(F.col("p_name"), F.col("p_size")).alias("name"))
+
+
+@query("""
+WITH r AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'DE' WHEN doc_id % 2 = 0 THEN 'FR' ELSE 'EU' END AS j, substr(text, 1, doc_id % 4) AS excerpt, CASE doc_id % 5 WHEN 0 THEN 'WISH' WHEN 1 THEN NULL ELSE 'OBLIGATION' END AS m,
+  CASE WHEN doc_id % 6 = 0 THEN NULL ELSE (doc_id % 6)::INTEGER END AS a, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 3 END AS b FROM documents),
+p AS (SELECT doc_id, list_filter([CASE WHEN j = 'DE' THEN 'JURISDICTION' END, CASE WHEN trim(excerpt) = '' THEN 'EXCERPT' END, CASE WHEN coalesce(m, '') <> 'OBLIGATION' THEN 'MODALITY' END,
+  CASE WHEN NOT ((a IS NULL AND b IS NULL) OR coalesce(a >= 0 AND b > a, false)) THEN 'SPAN' END], lambda x: x IS NOT NULL) AS problems FROM r)
+SELECT doc_id, array_to_string(problems, ',') AS problems FROM p WHERE len(problems) > 0
+""")
+def quarantined_rows(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    rows = table(spark, d, "documents").select(
+        "doc_id", F.when(k % 11 == 0, "DE").when(k % 2 == 0, "FR").otherwise("EU").alias("jurisdiction"), k.cast("string").alias("source_id"), F.lit("x").alias("source_checksum"), F.substring("text", F.lit(1), (k % 4).cast("int")).alias("source_excerpt"),
+        F.when(k % 5 == 0, "WISH").when(k % 5 > 1, "OBLIGATION").alias("modality"), F.lit("act").alias("action"), F.lit("ACCEPTED").alias("review_status"), F.when(k % 6 > 0, k % 6).cast("int").alias("span_start"), F.when(k % 7 > 0, 3).alias("span_end"),
+    )
+    return quarantine(rows, "obligation")[1].select("doc_id", F.array_join("problems", ",").alias("problems"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
