@@ -32,17 +32,22 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
-def clean_markup(markup: Column) -> Column:
-    """Visible text of markup: block tags as line breaks, entities resolved, blanks collapsed, one empty line at most."""
+def clean_markup(markup: Column, named_only: bool = False) -> Column:
+    """Visible text of markup: block tags as line breaks, entities resolved, blanks collapsed, one empty line at most.
+
+    ``named_only`` resolves those of ``ENTITIES`` with their semicolon and leaves all others as they stand.
+    """
+    # Any case as other engines fold it: the Kelvin sign is a k.
+    tags = lambda names: "|".join(names).replace("k", "[k\u212a]")
     x = F.coalesce(markup, F.lit(""))
-    x = F.regexp_replace(x, f"(?i)<(?:{'|'.join(BREAK_TAGS)})(?:[ \\t\\r\\n][^>]*)?/?>", "\n")
-    x = F.regexp_replace(x, f"(?i)</(?:{'|'.join(BLOCK_TAGS)})[ \\t\\r\\n]*>", "\n")
+    x = F.regexp_replace(x, f"(?i)<(?:{tags(BREAK_TAGS)})(?:[ \\t\\r\\n][^>]*)?/?>", "\n")
+    x = F.regexp_replace(x, f"(?i)</(?:{tags(BLOCK_TAGS)})[ \\t\\r\\n]*>", "\n")
     x = F.regexp_replace(x, "<[^>]*>", "")
-    x = resolved(x)
+    x = with_named(x) if named_only else resolved(x)
     x = F.replace(x, F.lit("\u00a0"), F.lit(" "))
     x = F.regexp_replace(x, "[ \\t]+", " ")
     x = F.regexp_replace(x, "\\n[ \\t]+", "\n")
-    return F.regexp_replace(F.regexp_replace(x, "\\n{3,}", "\n\n"), "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "")
+    return F.regexp_replace(F.regexp_replace(x, "\\n{3,}", "\n\n"), "^[ \\t\\r\\n]+|[ \\t\\r\\n]+\\z", "")
 
 
 @F.pandas_udf(StringType())
@@ -50,14 +55,16 @@ def _unescaped(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t))
 
 
+def with_named(text: Column) -> Column:
+    """Text with the entities of ``ENTITIES`` resolved, once each, and no others."""
+    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), text)
+
+
 def resolved(text: Column) -> Column:
     """Text with its entities resolved, once each; only texts with rarer ones go to a vectorised function."""
     common = "|".join(name[1:] for name in ENTITIES)
     rare = text.rlike(rf"&(?!{common})[#A-Za-z]")
-    plain = text
-    for name, sign in ENTITIES.items():
-        plain = F.replace(plain, F.lit(name), F.lit(sign))
-    return F.coalesce(_unescaped(F.when(rare, text)), plain)
+    return F.coalesce(_unescaped(F.when(rare, text)), with_named(text))
 
 
 def _said(value: object) -> object:

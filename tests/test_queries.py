@@ -34,6 +34,28 @@ def test_query(spark, duck, name):
     assert got == sorted(repr(tuple(r[k] for k in order)) for r in rel.fetchall())
 
 
+def rows_of(spark, tmp_path, name, **tables):
+    """Sorted rows of a query and of its SQL over small tables."""
+    c = duckdb.connect()
+    for t, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        c.sql(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    df = q.queries()[name](spark, str(tmp_path))
+    rel = c.sql(q.oracle_sql()[name])
+    assert rel.columns == df.columns
+    return sorted(map(tuple, df.collect())), sorted(rel.fetchall())
+
+
+def test_clean_text_on_odd_markup(spark, tmp_path):
+    """Entities cut by a tag, others than the named ones, line separators at the end, letters that fold to ASCII."""
+    odd = [
+        "a &amp<style>p{margin:0}</style>b", "&&&am<b>p;</b>x", "AT&T &eacute;t&#233; &#x2014; &notit; &copy", "&amp;lt;&amp;amp;&nbsp;&#39;", "&ampp &lt &gt;", "&amp;eacute; &quot;",
+        "end \u2028", "end\n\u0085", "end \u2029\n", " x\r\n\u2028", "a<BLOC\u212aQUOTE>b</bloc\u212aquote >c", "a<P\n>b<d\u0131v>c", "<", "", None, "&nbsp", "<li/>&middot;<br x=1/>y",
+    ]
+    got, want = rows_of(spark, tmp_path, "clean_text", pages=("page_id long, html string", list(enumerate(odd))))
+    assert got == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
