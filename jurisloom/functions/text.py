@@ -109,20 +109,23 @@ def _decomposed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
-def fold(text: Column) -> Column:
+def fold(text: Column, decomposed: bool = True) -> Column:
     """Lower case of the compatibility decomposition without its marks.
 
     Texts of ASCII and the accented letters above are translated; only others,
-    say with ligatures or marks of their own, go to a vectorised function.
+    say with ligatures or marks of their own, go to a vectorised function.  Unless
+    ``decomposed``, these letters are all that is translated.
     """
     text = F.coalesce(text, F.lit(""))
+    if not decomposed:
+        return F.lower(F.translate(text, ACCENTED, PLAIN))
     known = text.rlike(rf"^[\x00-\x7F{ACCENTED}]*$")
     return F.lower(F.coalesce(_decomposed(F.when(~known, text)), F.translate(text, ACCENTED, PLAIN)))
 
 
-def tokens(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
+def tokens(text: Column, stop_words: list[str] = STOP_WORDS, decomposed: bool = True) -> Column:
     """Distinct folded words of three characters or more that aren't stop words."""
-    found = F.array_distinct(F.regexp_extract_all(fold(text), F.lit("[a-z0-9]{3,}"), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(fold(text, decomposed), F.lit("[a-z0-9]{3,}"), F.lit(0)))
     return F.array_except(found, F.lit(stop_words)) if stop_words else found
 
 

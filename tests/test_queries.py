@@ -34,7 +34,7 @@ def test_query(spark, duck, name):
     assert got == sorted(repr(tuple(r[k] for k in order)) for r in rel.fetchall())
 
 
-def rows_of(spark, tmp_path, name, **tables):
+def rows_of(spark, tmp_path, name, key=None, **tables):
     """Sorted rows of a query and of its SQL over small tables."""
     c = duckdb.connect()
     for t, (schema, rows) in tables.items():
@@ -43,7 +43,7 @@ def rows_of(spark, tmp_path, name, **tables):
     df = q.queries()[name](spark, str(tmp_path))
     rel = c.sql(q.oracle_sql()[name])
     assert rel.columns == df.columns
-    return sorted(map(tuple, df.collect())), sorted(rel.fetchall())
+    return sorted(map(tuple, df.collect()), key=key), sorted(rel.fetchall(), key=key)
 
 
 def test_clean_text_on_odd_markup(spark, tmp_path):
@@ -56,6 +56,15 @@ def test_clean_text_on_odd_markup(spark, tmp_path):
     assert got == want
 
 
+def test_jaccard_pairs_on_odd_texts(spark, tmp_path):
+    """Letters beyond the SQL's table, ids that are null or repeat, empty texts, copies, a long text beside short ones."""
+    items = [(1, "\ufb01nance ﬃ publique naturelle"), (2, "État général dépenses \u0130stanbul \u212aelvin"), (None, "alpha beta gamma delta"), (4, ""), (5, None), (6, "alpha"), (6, "alpha epsilon")]
+    docs = [(1, "finance publique naturelle"), (2, "etat general depenses istanbul kelvin"), (None, "alpha beta gamma"), (3, "alpha " + " ".join(f"w{k}x" for k in range(300))), (4, "alpha epsilon")]
+    docs += [(4, "alpha epsilon"), (5, "nance"), (6, None), (7, "de la des"), (8, "alpha beta gamma delta " + " ".join(f"w{k}x" for k in range(20)))]
+    got, want = rows_of(spark, tmp_path, "jaccard_pairs", key=repr, benchmark=("item_id long, text string", items), documents=("doc_id long, text string", docs))
+    assert got == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
